@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import history, near_copies, split
+from corpusloom.llm import history, near_copies, site_lines, split
 from corpusloom.session import table
 
 SIM = {"k": 3, "threshold": 0.7, "min_words": 20}
@@ -43,7 +43,21 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_copies.groups(members, links)
 
 
-QUERIES = {f.__name__: f for f in (p3_pieces, p3_found, p4_found, p5_found, p5_groups)}
+def _repeated(spark: SparkSession, d: str) -> DataFrame:
+    return site_lines.repeated_lines(table(spark, d, "scrape_url"), "content", "fetch_id", "url")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of repeated clusters that are themselves repeated by their exact letters."""
+    exact = (F.col("same_docs") >= 5) & (F.col("same_docs") * 10 >= F.col("site_docs"))
+    return _repeated(spark, d).filter(exact).select(F.col("doc_id").alias("fetch_id"), "line_no")
+
+
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    return site_lines.without_lines(table(spark, d, "scrape_url"), "content", "fetch_id", _repeated(spark, d)).withColumnRenamed("doc_id", "fetch_id")
+
+
+QUERIES = {f.__name__: f for f in (p3_pieces, p3_found, p4_found, p5_found, p5_groups, p7_found, p7_clean)}
 
 _SHINGLES = """
 WITH w AS (SELECT doc_id, batch, regexp_extract_all(lower(content), '[a-z0-9]+') AS ws FROM similar_document WHERE content IS NOT NULL),
@@ -60,4 +74,11 @@ SQL = {
     "p3_found": "SELECT fetch_id FROM scrape_url WHERE length(content) > 6000",
     "p4_found": _SHINGLES + "SELECT DISTINCT a.doc_id, a.batch FROM m a JOIN sim ON a.cid = ca JOIN m b ON b.cid = cb WHERE b.batch < a.batch",
     "p5_found": _SHINGLES + "SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM m a JOIN sim ON a.cid = ca JOIN m b ON b.cid = cb WHERE a.doc_id < b.doc_id",
+    "p7_found": r"""
+WITH r AS (SELECT fetch_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)', 1)) AS site, content FROM scrape_url),
+l AS (SELECT fetch_id, site, i AS line_no, regexp_replace(lower(string_split(content, chr(10))[i]), '[^\p{L}]', '', 'g') AS k
+      FROM r, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS u(i)),
+n AS (SELECT site, k, count(DISTINCT fetch_id) AS n FROM l WHERE k <> '' GROUP BY ALL),
+h AS (SELECT site, count(*) AS docs FROM r GROUP BY site)
+SELECT fetch_id, CAST(line_no AS INT) AS line_no FROM l JOIN n USING (site, k) JOIN h USING (site) WHERE n >= 5 AND n * 10 >= docs""",
 }
