@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import history, near_copies, site_lines, split
+from corpusloom.llm import history, messages, near_copies, site_lines, split, wrappers
 from corpusloom.session import table
 
 SIM = {"k": 3, "threshold": 0.7, "min_words": 20}
@@ -16,6 +16,21 @@ def _limit(spark: SparkSession, d: str, name: str) -> tuple[int, int]:
     return r[0], r[1]
 
 
+def _furniture(spark: SparkSession, d: str, name: str) -> DataFrame:
+    if name == "pages":
+        return wrappers.furniture(table(spark, d, "pages"), "page_id", "article_html", "url", markup=True)
+    return wrappers.furniture(table(spark, d, "scrape_url"), "fetch_id", "content", "url", markup=False)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    parts = [_furniture(spark, d, t).select(F.lit(t).alias("tbl"), "row_id", "line_no") for t in ("scrape_url", "pages")]
+    return parts[0].union(parts[1])
+
+
+def p1_main_body(spark: SparkSession, d: str) -> DataFrame:
+    return wrappers.main_body(table(spark, d, "scrape_url"), "fetch_id", "content", _furniture(spark, d, "scrape_url"))
+
+
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     size, overlap = _limit(spark, d, "embed_input")
     return split.split_long(table(spark, d, "scrape_url"), "content", ["fetch_id"], size, overlap)
@@ -43,6 +58,14 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_copies.groups(members, links)
 
 
+def p6_pages(spark: SparkSession, d: str) -> DataFrame:
+    return messages.unfit_pages(table(spark, d, "scrape_url"), "content", ["fetch_id"])
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_pages(spark, d).filter("kind <> ''").select("fetch_id")
+
+
 def _repeated(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.repeated_lines(table(spark, d, "scrape_url"), "content", "fetch_id", "url")
 
@@ -57,7 +80,7 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.without_lines(table(spark, d, "scrape_url"), "content", "fetch_id", _repeated(spark, d)).withColumnRenamed("doc_id", "fetch_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_pieces, p3_found, p4_found, p5_found, p5_groups, p7_found, p7_clean)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_main_body, p3_pieces, p3_found, p4_found, p5_found, p5_groups, p6_found, p6_pages, p7_found, p7_clean)}
 
 _SHINGLES = """
 WITH w AS (SELECT doc_id, batch, regexp_extract_all(lower(content), '[a-z0-9]+') AS ws FROM similar_document WHERE content IS NOT NULL),
