@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import history, messages, near_copies, site_lines, split, wrappers
+from corpusloom.llm import history, markup, messages, near_copies, site_lines, split, wrappers
 from corpusloom.session import table
 
 SIM = {"k": 3, "threshold": 0.7, "min_words": 20}
@@ -31,6 +31,14 @@ def p1_main_body(spark: SparkSession, d: str) -> DataFrame:
     return wrappers.main_body(table(spark, d, "scrape_url"), "fetch_id", "content", _furniture(spark, d, "scrape_url"))
 
 
+def p2_text(spark: SparkSession, d: str) -> DataFrame:
+    return markup.convert(table(spark, d, "pages"), "page_id", "article_html").withColumnRenamed("row_id", "page_id")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_text(spark, d).select("page_id", F.explode("markup").alias("markup"))
+
+
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     size, overlap = _limit(spark, d, "embed_input")
     return split.split_long(table(spark, d, "scrape_url"), "content", ["fetch_id"], size, overlap)
@@ -80,7 +88,7 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.without_lines(table(spark, d, "scrape_url"), "content", "fetch_id", _repeated(spark, d)).withColumnRenamed("doc_id", "fetch_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_main_body, p3_pieces, p3_found, p4_found, p5_found, p5_groups, p6_found, p6_pages, p7_found, p7_clean)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_main_body, p2_found, p2_text, p3_pieces, p3_found, p4_found, p5_found, p5_groups, p6_found, p6_pages, p7_found, p7_clean)}
 
 _SHINGLES = """
 WITH w AS (SELECT doc_id, batch, regexp_extract_all(lower(content), '[a-z0-9]+') AS ws FROM similar_document WHERE content IS NOT NULL),
