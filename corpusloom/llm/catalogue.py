@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import history, markup, messages, near_copies, site_lines, split, wrappers
+from corpusloom.llm import history, markup, messages, near_copies, severity, site_lines, split, wrappers
 from corpusloom.session import table
 
 SIM = {"k": 3, "threshold": 0.7, "min_words": 20}
@@ -88,7 +88,25 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.without_lines(table(spark, d, "scrape_url"), "content", "fetch_id", _repeated(spark, d)).withColumnRenamed("doc_id", "fetch_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_main_body, p2_found, p2_text, p3_pieces, p3_found, p4_found, p5_found, p5_groups, p6_found, p6_pages, p7_found, p7_clean)}
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = severity.train(docs, table(spark, d, "labels"), "doc_id", "text", "toxic")
+    return severity.score(docs, model, ["doc_id", "source"], "text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).filter(F.col("severity") >= severity.THRESHOLD).select("doc_id")
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("doc_id", "severity", "worst_passage")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return severity.rates(_scored(spark, d), F.col("source"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_main_body, p2_found, p2_text, p3_pieces, p3_found, p4_found, p5_found, p5_groups, p6_found, p6_pages, p7_found, p7_clean, p10_found, p10_scores, p10_rates)}
 
 _SHINGLES = """
 WITH w AS (SELECT doc_id, batch, regexp_extract_all(lower(content), '[a-z0-9]+') AS ws FROM similar_document WHERE content IS NOT NULL),
