@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import history, markup, messages, near_copies, severity, site_lines, split, wrappers
+from corpusloom.llm import history, markup, messages, mixing, near_copies, packing, severity, site_lines, split, tokens, wrappers
 from corpusloom.session import table
 
 SIM = {"k": 3, "threshold": 0.7, "min_words": 20}
@@ -88,6 +88,30 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.without_lines(table(spark, d, "scrape_url"), "content", "fetch_id", _repeated(spark, d)).withColumnRenamed("doc_id", "fetch_id")
 
 
+def _capacities(spark: SparkSession, d: str) -> dict[str, int]:
+    rows = table(spark, d, "size_limit").filter("unit = 'tokens' AND limit_name LIKE 'pack%'").select("limit_name", "max_size").collect()
+    return {r[0]: r[1] for r in rows}
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(tokens.with_counts(table(spark, d, "documents"), ["doc_id"], "text"), "doc_id", "n_tokens", _capacities(spark, d))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p8_containers(spark, d), _capacities(spark, d))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_target")
+    names = [r[0] for r in targets.select(F.lower(F.trim("source"))).collect()]  # a row per target source
+    docs = table(spark, d, "documents").filter(F.lower(F.trim("source")).isin(names))
+    return mixing.mix(tokens.with_counts(docs, ["doc_id", "source"], "text"), "doc_id", F.col("source"), "n_tokens", targets)
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(p9_mix(spark, d), table(spark, d, "mix_target"))
+
+
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     model = severity.train(docs, table(spark, d, "labels"), "doc_id", "text", "toxic")
@@ -106,7 +130,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return severity.rates(_scored(spark, d), F.col("source"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_main_body, p2_found, p2_text, p3_pieces, p3_found, p4_found, p5_found, p5_groups, p6_found, p6_pages, p7_found, p7_clean, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_main_body, p2_found, p2_text, p3_pieces, p3_found, p4_found, p5_found, p5_groups, p6_found, p6_pages, p7_found, p7_clean, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
 
 _SHINGLES = """
 WITH w AS (SELECT doc_id, batch, regexp_extract_all(lower(content), '[a-z0-9]+') AS ws FROM similar_document WHERE content IS NOT NULL),

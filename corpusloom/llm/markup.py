@@ -228,7 +228,9 @@ def _weights(pages: DataFrame, row_id: str, text: str) -> dict[str, float]:
     """Weights from a bounded sample of pages whose lines the furniture wordings label."""
     from corpusloom.llm.wrappers import furniture_lines
 
-    rows = pages.filter(F.length(text) > 0).select(F.xxhash64(row_id).alias("h"), F.substring(F.col(text), 1, 200_000).alias("t")).orderBy("h").limit(SAMPLE).collect()
+    src = pages.filter(F.length(text).between(1, 200_000)).select(F.xxhash64(row_id).alias("h"), F.col(text).alias("t"))  # longer ones are no sample material
+    low = src.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    rows = src.filter(F.col("h") <= low).orderBy("h", "t").limit(SAMPLE).collect() if low is not None else []
     return fit_weights([r.t for r in rows], [set(furniture_lines(r.t.split("\n"), set(), True)) for r in rows]) if rows else dict(DEFAULT)
 
 
