@@ -1,0 +1,42 @@
+"""Streams over ledgers and pages."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from corpusloom.config import Config
+from corpusloom.operators import agent as A
+from corpusloom.operators.memory import Memory
+from corpusloom.sources.readers import COVERAGE, PAGE
+
+
+def coverage_counts(spark: SparkSession, folder: str, late: str = "1 hour", width: str = "1 hour") -> DataFrame:
+    """Events per source, kind and window of a coverage ledger that grows; later rows than ``late`` are dropped."""
+    events = spark.readStream.schema(COVERAGE).json(folder).withColumn("at", F.timestamp_seconds("time"))
+    return events.withWatermark("at", late).groupBy(F.window("at", width), "source", "kind").agg(F.count("*").alias("n"))
+
+
+def run_agent(spark: SparkSession, folder: str, memory_root: str, results_root: str, checkpoint: str, cfg: Config | None = None, embedder: Callable | None = None, files_per_batch: int = 1) -> StreamingQuery:
+    """The agent over pages that arrive as JSON files: each batch is decided against the memory that the ones before left.
+
+    Results are written to a folder per batch and the memory to its next version; a batch that is run again after
+    a failure finds its results folder and leaves the memory alone.
+    """
+    memory, cfg = Memory(spark, memory_root), cfg or Config()
+    pages = spark.readStream.schema(PAGE + ", seq bigint").option("maxFilesPerTrigger", files_per_batch).json(folder)
+
+    def fold(batch: DataFrame, n: int) -> None:
+        done = f"{results_root}/batch={n}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{done}/_SUCCESS")
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return
+        have = memory.read()
+        decided = A.materialize(A.decide_batch(batch, have, cfg, embedder), "decided")
+        memory.upsert(A.memory_rows(decided, have, have.count()))
+        A.results(decided).write.mode("overwrite").parquet(done)
+
+    return pages.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
