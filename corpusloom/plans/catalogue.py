@@ -187,12 +187,13 @@ def crawl_limit(spark, d):
 
 @query
 def crawl_levels(spark, d):
-    """A crawl of the ledger's link graph, from its least url of the largest source."""
-    p = _pages(spark, d).filter("source = 'quaymere' AND url IS NOT NULL")
+    """A crawl of the ledger's link graph from the url with most links of its own host."""
+    p = _pages(spark, d).filter("url IS NOT NULL")
     anchors = F.array_join(F.transform(F.coalesce("links", F.array()), lambda x: F.concat(F.lit('<a href="'), x, F.lit('">x</a>'))), "")
     store = p.select("url", F.concat(F.lit("<h1>p</h1>"), anchors).alias("html"))
-    start = p.agg(F.min("url")).first()[0]
-    return frontier.crawl(store, start or ROOT, None, 1000, 12)
+    own = p.select("url", F.explode("links").alias("to")).filter(U.same_site(F.col("url"), F.col("to")))
+    start = own.groupBy("url").agg(F.countDistinct("to").alias("n")).orderBy(F.desc("n"), "url").limit(1).first()
+    return frontier.crawl(store, start.url if start else ROOT, None, 1000, 12)
 
 
 @query
