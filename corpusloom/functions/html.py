@@ -59,7 +59,7 @@ def hrefs(html: Column) -> Column:
 
 def slug(text: Column, limit: int = SLUG_CHARS) -> Column:
     """A file name: no tags, signs that file systems refuse and blanks as single underscores, at most ``limit`` characters."""
-    t = F.regexp_replace(text, r"<[^>]*>", "")
+    t = F.regexp_replace(text, r"<[^>]+>", "")
     t = F.regexp_replace(t, r'[<>:"/\\|?*]', "_")
     t = F.regexp_replace(F.regexp_replace(t, r"(?U)[\s_]+", "_"), "^_+|_+$", "")
     t = F.regexp_replace(F.substring(t, 1, limit), "_+$", "")

@@ -37,7 +37,7 @@ def _scope(col: str) -> str:
     )
 
 
-_SLUG = r"regexp_replace(substring(regexp_replace(regexp_replace(regexp_replace(regexp_replace(title, '<[^>]*>', '', 'g'), '[<>:\"/\\|?*]', '_', 'g'), '[\s_\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 50), '_+$', '')"
+_SLUG = r"regexp_replace(substring(regexp_replace(regexp_replace(regexp_replace(regexp_replace(title, '<[^>]+>', '', 'g'), '[<>:\"/\\|?*]', '_', 'g'), '[\s_\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 50), '_+$', '')"
 _HREFS = r"SELECT page_id, url, unnest(regexp_extract_all(article_html, '<a\b[^>]*?\shref\s*=\s*\"([^\"]*)\"', 1, 'is')) AS href FROM pages"
 _RESOLVED = rf"""WITH h AS ({_HREFS}), l AS (SELECT page_id, url, {_unescape("href")} AS href FROM h),
 r AS (SELECT page_id, url, href, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '{_SCHEME}[^/?#]*', 0) || regexp_replace(href, '#.*$', '') ELSE regexp_replace(href, '#.*$', '') END AS target FROM l WHERE trim(href) <> '' AND NOT regexp_matches(href, '^(#|mailto:|tel:)'))
