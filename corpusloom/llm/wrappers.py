@@ -33,7 +33,9 @@ PART = 500  # pages of a site that one task aligns
 
 _TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", re.S)
 _HEAD = re.compile(r"^\s*(?:<[^h][^<>]*>\s*)*<(?:h[1-6]|t[rdh]|table|pre|blockquote)\b", re.I)
-_NOT_TITLE = re.compile(r"[.!?。！？]$|[{}=;,，。\[\]<>_]|://|^[$#/-]|\(.*\)$|^(?:Note|Tip|Warning|Hinweis|Tipp|Nota|Remarque|Astuce|Consejo|Aviso)\b ?:|^(?:注意|提示)")
+_NOT_TITLE = re.compile(r"^[|!\\{&]|[.!?。！？]$|[{}=;,，。\[\]<>_]|://|^[$#/-]|\(.*\)$|^(?:Note|Tip|Warning|Hinweis|Tipp|Nota|Remarque|Astuce|Consejo|Aviso)\b ?:|^(?:注意|提示)")
+_BULLET = re.compile(r"^[-*+]\s+(?=\S)")
+_ARROW = re.compile(r"^[«‹]\s|^(?:previous|next|zurück|weiter|précédent|suivant|anterior|siguiente) ?: |\s[»›]$", re.I)
 _LIST = re.compile(r"^(?:[•*+–-]|\d+[.)])\s")
 
 
@@ -170,6 +172,8 @@ def furniture_lines(lines: list[str], template: set[int], markup: bool = False)
     Blank lines, lines of tags alone and, of plain text, the first line never count.
     """
     text = [visible(x, markup).strip() for x in lines]
+    if markup:  # an article without tags carries the list marks of its own markup
+        text = [_BULLET.sub("", t) if t and "<" not in x else t for t, x in zip(text, lines)]
     start = 0 if markup else 1
     rows = [i for i in range(start, len(text)) if text[i]]
     key = {i: letters(text[i]) for i in rows}
@@ -197,7 +201,13 @@ def furniture_lines(lines: list[str], template: set[int], markup: bool = False)
         if message_line(t) or U.heading(t):
             mode = ""
             continue
-        if key[i] and (token(t) in template) and key[i] != title:
+        if _ARROW.search(t) and title_like(U.bare(t)):
+            out.add(i)
+            before = [j for j in rows[:n] if j >= i - 2][-1:]  # the other link of the pair may lack its arrow
+            if before and before[0] not in out and title_like(U.bare(text[before[0]])) and (markup or n < 2 or rows[n - 2] in out) and not (markup and _HEAD.match(lines[before[0]])):
+                out.add(before[0])
+            continue
+        if key[i] and (token(t) in template) and key[i] != title and not (markup and t[0] in "\\|!{&$`="):
             out.add(i)
             if mode != "related":
                 mode = ""
@@ -212,7 +222,7 @@ def furniture_lines(lines: list[str], template: set[int], markup: bool = False)
     # Runs of titles are links: no article has several headings on end. Ahead of furniture or at the end of the
     # page two are enough, or one next to a link already found; before text three are needed, and the last is a heading.
     def link(i: int) -> bool:
-        return i not in out and title_like(U.bare(text[i])) and not (message_line(text[i]) or U.heading(text[i]) or times[key[i]] > 1 or (markup and _HEAD.match(lines[i])))
+        return i not in out and key[i] != "" and title_like(U.bare(text[i])) and not (message_line(text[i]) or U.heading(text[i]) or times[key[i]] > 1 or (markup and _HEAD.match(lines[i])))
 
     n = 0
     while n < len(rows):
