@@ -54,7 +54,7 @@ HEADINGS = set(
     "|présentation|prérequis|limites|résumé|étapes suivantes|problèmes connus|avant de commencer|contexte|nettoyage"
     "|resumen|requisitos|límites|limitaciones|próximos pasos|problemas conocidos|antes de empezar|descripción general|visión general|limpieza|introducción"
     "|überblick|voraussetzungen|grenzen|einschränkungen|zusammenfassung|nächste schritte|bekannte probleme|bevor sie beginnen|hintergrund|aufräumen|einleitung"
-    "|概述|背景|要求|限制|摘要|后续步骤|已知问题|准备工作|总结|前提条件|清理".split("|")
+    "|概述|前提|背景|要求|限制|摘要|后续步骤|已知问题|准备工作|总结|前提条件|清理".split("|")
 )
 
 _LINE = re.compile("^(?:" + "|".join(LINES.strip().split("\n")) + ")$", re.I)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import shingles as S
-from corpusloom.session import materialize, shared_dir, small_batches
+from corpusloom.session import drop_table, materialize, shared_dir, small_batches
 
 PASSAGE, WINDOW = 6, 5
 SAMPLES = 128
@@ -117,6 +117,12 @@ class History:
         self._add(texts, "texts", "cls")
         self.empty = False
 
+    def close(self) -> None:
+        """Forget the history and remove its files."""
+        for what in ("passages", "texts"):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(what)}")
+        drop_table(self.spark, self.root)
+
 
 def repeats(docs: DataFrame, text: str, keys: list[str], batch: str, **params) -> DataFrame:
     """Rows (``keys`` and ``batch``) whose content repeats that of some smaller batch, batch after batch.
@@ -135,4 +141,5 @@ def repeats(docs: DataFrame, text: str, keys: list[str], batch: str, **params) -
             out = hit if out is None else out.union(hit)
         if n != numbers[-1]:
             h.append(rows)
+    h.close()  # what was found is written
     return out if out is not None else docs.select(*keys, batch).limit(0)

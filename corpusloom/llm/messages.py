@@ -21,7 +21,7 @@ MESSAGES = r"""
 page introuvable|le lien est peut-être rompu|the page you asked for could not be found|it may have moved or never existed|diese seite wurde nicht gefunden|bitte prüfen sie die adresse|页面不存在|请检查网址
 oops! nothing to see here|go back to the start page|(error )?404( not found|[: -]+page not found)?|not found|page not found|the requested url \S+ was not found on this server
 la página solicitada no existe|no se (ha )?encontr(ó|ado) la página( solicitada)?|la página no existe|página no encontrada|compruebe la dirección|seite nicht gefunden
-(error )?(500|502|503|504|403|401|429)( [a-z -]+)?|bad gateway|internal server error|service temporarily unavailable|the upstream server did not answer in time|gateway time-?out
+(error )?(500|502|503|504|403|401|429)( [a-z -]+)?|bad gateway|internal (server )?error|server error|service temporarily unavailable|the upstream server did not answer in time|gateway time-?out
 we are down for scheduled maintenance until \S+ o'clock|error establishing a database connection|something went wrong( on our side)?(\. try again( in a few minutes| later)?)?|es ist ein fehler aufgetreten|une erreur est survenue|ha ocurrido un error|服务器错误|服务暂时不可用
 access denied|forbidden|your address \S+ is not allowed to view this resource|reference: \S+|ray \S+|this space is private\. ask an owner for an invitation|this content has been removed by its owner|your session has expired\. please sign in again to continue
 accès refusé|acceso denegado|zugriff verweigert|访问被拒绝|too many requests|slow down: you have sent \d+ requests in the last minute
@@ -33,7 +33,7 @@ verify that you are human.*|checking your browser before you enter \S+|this can
 # Filler lines and the vocabulary of pseudo-Latin and its modern kin.
 FILLER = r"""
 todo|tbd|todo: .{3,60}|tbd: .{3,60}|coming soon|(this page is )?under construction|your content will appear here soon|hier steht später der text|sample text goes here\. replace it before you publish|(text )+text|placeholder( text)?|lorem ipsum.*|insert text here|add your text here|your text here|type your text here
-aquí (va|irá) el texto.*|texto de ejemplo.*|votre texte ici.*|texte à venir.*|ici le texte.*|blindtext.*|此处.{0,12}(内容|文字|文本)|内容即将.*|敬请期待|(asdf|qwer|test|foo|bar|blah|bla|xxx|jkl|\d+)( (asdf|qwer|test|foo|bar|blah|bla|xxx|jkl|\d+))+
+texto provisional.*|placeholder (paragraph|copy|content)\b.*|texte de remplissage.*|blah( blah)+\b.*|this is an example (page|post)\..*|aquí (va|irá) el texto.*|texto de ejemplo.*|votre texte ici.*|texte à venir.*|ici le texte.*|blindtext.*|此处.{0,12}(内容|文字|文本)|内容即将.*|敬请期待|(asdf|qwer|test|foo|bar|blah|bla|xxx|jkl|\d+)( (asdf|qwer|test|foo|bar|blah|bla|xxx|jkl|\d+))+
 """
 LATIN = set(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud "
