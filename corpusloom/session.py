@@ -80,8 +80,8 @@ def drop_table(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-@atexit.register
-def _clean() -> None:
+def release() -> None:
+    """Remove every table that ``materialize`` wrote in this process. Data frames that read them can't be used after."""
     for spark, path in _WRITTEN:
         try:
             drop_table(spark, path)
@@ -90,6 +90,9 @@ def _clean() -> None:
     _WRITTEN.clear()
 
 
+atexit.register(release)
+
+
 def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_rows: int = 200_000, salts: int = 32) -> DataFrame:
     """Join ``big`` to a side that is usually small, safe for hot keys.
 
