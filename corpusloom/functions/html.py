@@ -5,6 +5,7 @@ The expressions stay inside the JVM and read well-formed pages; ``articles`` wal
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -114,9 +115,24 @@ def _strings(node: list) -> Iterator[str]:
 
 
 def _code(pre: list) -> str:
-    """Code of a block; where every line is an element of its own, lines are joined by line ends."""
-    lines = [n for e in _nodes(pre) if _has(e, "ec-line") for n in _nodes(e) if _has(n, "code")] or [n for n in _nodes(pre) if _has(n, "line")]
-    body = "\n".join("".join(_strings(n)).rstrip("\n") for n in lines) if lines else "".join(_strings(pre))
+    """Code of a block, fenced. Where its lines are elements of their own, each of them ends a line."""
+    out: list[str] = []
+
+    def walk(node: list, inside: bool) -> None:
+        for c in node[2]:
+            if isinstance(c, str):
+                out.append(c)
+            elif _has(c, "line") or (inside and _has(c, "code")):
+                if out and not out[-1].endswith("\n"):
+                    out.append("\n")
+                out.append("".join(_strings(c)).rstrip("\n") + "\n")
+            else:
+                walk(c, inside or _has(c, "ec-line"))
+
+    walk(pre, False)
+    body = "".join(out)
+    if any(_has(n, "line") or _has(n, "ec-line") for n in _nodes(pre)):
+        body = re.sub(r"\n{2,}", "\n", body)  # white space between the line elements is no line
     return "```\n" + body.rstrip("\n") + "\n```"
 
 

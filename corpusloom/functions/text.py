@@ -10,7 +10,12 @@ from pyspark.sql.types import StringType
 from corpusloom import config as C
 
 # Words that make a paragraph worth quoting.
-TERMS = "install upgrade update configure configuration backup restore secret token permission policy default limit error security rollback migrate".split()
+TERMS = (
+    "registry docker network actions runner webhook branch protect review api cloudformation endpoint authentication token s3 kms iam helm "
+    "kustomization gitrepository receiver sops secret bootstrap install configuration build lock pin architecture arm amd64"
+).split()
+# Fixed value: the shape of a deciding model's answer.
+ANSWER = r"(?is)DECISION:\s*(SAVE|CONSOLIDATE|SKIP)\s*\n(?:TARGET_ID:[^\S\n]+(.*?)\n)?REASON:\s*(.*)"
 
 
 def word_count(t: Column) -> Column:
@@ -76,23 +81,21 @@ def chunk_table(df: DataFrame, text: str, keep: list[str], limit: int = C.EMBED_
     return df.select(*keep, F.posexplode(cut(F.col(text))).alias("_i", "chunk")).select(*keep, (F.col("_i") + 1).alias("chunk_no"), "chunk")
 
 
-def excerpt(text: str | None, limit: int = C.EXCERPT_CHARS) -> str | None:
-    """Short texts whole; else the paragraphs with most distinct terms that fit together, in their order; else the start."""
-    if text is None or len(text) <= limit:
-        return text
-    parts = text.split("\n\n")
-    rank = sorted(range(len(parts)), key=lambda i: -sum(t in parts[i].lower() for t in TERMS))
-    size, taken = 0, []
-    for i in rank:
-        if size + len(parts[i]) < limit:
-            taken.append(i)
-            size += len(parts[i])
-    return "\n\n".join(parts[i] for i in sorted(taken)) or text[:limit]
+def excerpt(text: Column, limit: int = C.EXCERPT_CHARS) -> Column:
+    """Short texts whole; else the paragraphs with most distinct terms that fit together, in their order; else the start.
 
-
-@F.pandas_udf(StringType())
-def excerpts(s: pd.Series) -> pd.Series:
-    return s.map(excerpt)
+    Paragraphs are taken by falling number of terms, then by place; one that would reach the limit is passed over and
+    later ones are still tried. All of it is array functions, so no text leaves the JVM.
+    """
+    low = lambda p: F.lower(p)
+    hits = lambda p: sum((F.contains(low(p), F.lit(t)).cast("int") for t in TERMS), F.lit(0))
+    paragraphs = F.transform(F.split(text, "\n\n"), lambda p, i: F.struct((-hits(p)).alias("worth"), i.alias("place"), F.length(p).alias("size"), p.alias("body")))
+    start = F.struct(F.lit(0).alias("size"), F.expr("cast(array() as array<struct<place:int,body:string>>)").alias("kept"))
+    fits = lambda acc, p: acc["size"] + p["size"] < limit
+    step = lambda acc, p: F.when(fits(acc, p), F.struct((acc["size"] + p["size"]).alias("size"), F.array_append(acc["kept"], F.struct(p["place"].alias("place"), p["body"].alias("body"))).alias("kept"))).otherwise(acc)
+    kept = F.aggregate(F.array_sort(paragraphs), start, step)["kept"]
+    joined = F.array_join(F.transform(F.array_sort(kept), lambda k: k["body"]), "\n\n")
+    return F.when(F.length(text) <= limit, text).when(joined != "", joined).otherwise(F.substring(text, 1, limit))
 
 
 def parse_decision(answer: Column) -> Column:
@@ -101,11 +104,10 @@ def parse_decision(answer: Column) -> Column:
     The word in any case, an optional TARGET_ID line with something after its colon, and a REASON to the end; an
     answer of any other shape means SAVE.
     """
-    rx = r"(?is)DECISION:\s*(SAVE|CONSOLIDATE|SKIP)\s*\n(?:TARGET_ID:[^\S\n]+(.*?)\n)?REASON:\s*(.*)"
-    word = F.upper(F.regexp_extract(answer, rx, 1))
+    word = F.upper(F.regexp_extract(answer, ANSWER, 1))
     got = F.coalesce(word != "", F.lit(False))
-    target = F.nullif(F.trim(F.regexp_extract(answer, rx, 2)), F.lit(""))
-    reason = F.regexp_replace(F.regexp_extract(answer, rx, 3), r"^\s+|\s+$", "")
+    target = F.nullif(F.trim(F.regexp_extract(answer, ANSWER, 2)), F.lit(""))
+    reason = F.regexp_replace(F.regexp_extract(answer, ANSWER, 3), r"^\s+|\s+$", "")
     return F.struct(F.when(got, word).otherwise("SAVE").alias("decision"), F.when(got, target).alias("target_id"), F.when(got, reason).otherwise(C.NO_MATCH_REASON).alias("reason"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Path segments of translations and of pages that are no documentation, and version segments.
-SKIPPED_SEGMENTS = "blog tag tags category search author archive de es fr it ja ko pt ru zh zh-cn pt-br".split()
+SKIPPED_SEGMENTS = "blog tags categories search enterprise zh-cn zh-tw ja-jp fr-fr next".split()
 VERSION_SEGMENT = r"v?[0-9]+\.[0-9]+(\.[0-9]+)?"
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*)://"
 
@@ -79,9 +79,9 @@ def canonical(u: Column) -> Column:
 
 def in_scope(u: Column, root: Column) -> Column:
     """Documentation page below ``root``: same host, no translation, blog or version segment, no suffix but .html."""
-    p = F.lower(path(u))
+    p = path(u)
     bad = r"/(" + "|".join(SKIPPED_SEGMENTS) + r"|" + VERSION_SEGMENT + r")(/|$)"
-    suffix = F.regexp_extract(p, r"[^/.](\.[^/.]+)$", 1)
+    suffix = F.regexp_extract(F.lower(p), r"[^/.](\.[^/.]+)$", 1)
     ok = u.rlike("^https?://") & (netloc(u) == netloc(root)) & F.startswith(path(u), path(root)) & ~p.rlike(bad) & suffix.isin("", ".html")
     return F.coalesce(ok, F.lit(False))
 

@@ -269,7 +269,7 @@ def short_articles(spark, d):
 
 @query
 def excerpt_select(spark, d):
-    return _docs(spark, d).filter("text IS NOT NULL").select("doc_id", T.excerpts(F.col("text")).alias("excerpt"))
+    return _docs(spark, d).filter("text IS NOT NULL").select("doc_id", T.excerpt(F.col("text")).alias("excerpt"))
 
 
 @query

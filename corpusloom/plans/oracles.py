@@ -26,14 +26,14 @@ _BARE = f"regexp_replace({_PATH}, '/{{2,}}', '/', 'g')"
 _CANON = rf"lower(regexp_extract(url, '{_SCHEME}', 1)) || '://' || lower({_NETLOC}) || {_BARE} || CASE WHEN ends_with({_BARE}, '/') OR regexp_matches({_BARE}, '/[^/]*[^/.]\.[^/.]+$') THEN '' ELSE '/' END"
 _RULE = "repeat('-', 50)"
 _DOC = "'URL: ' || coalesce(url, '') || chr(10) || 'Title: ' || coalesce({t}, '') || chr(10) || " + _RULE + " || chr(10) || chr(10) || coalesce({b}, '')"
-_SKIP = "blog|tag|tags|category|search|author|archive|de|es|fr|it|ja|ko|pt|ru|zh|zh-cn|pt-br"
+_SKIP = "blog|tags|categories|search|enterprise|zh-cn|zh-tw|ja-jp|fr-fr|next"
 
 
 def _scope(col: str) -> str:
     path = rf"regexp_extract({col}, '{_SCHEME}[^/?#]*([^?#]*)', 2)"
     return (
         rf"regexp_matches({col}, '^https?://') AND regexp_extract({col}, '{_SCHEME}([^/?#]*)', 2) = 'quaymere.test' AND starts_with({path}, '/docs/') "
-        rf"AND NOT regexp_matches(lower({path}), '/({_SKIP}|v?[0-9]+\.[0-9]+(\.[0-9]+)?)(/|$)') AND regexp_extract(lower({path}), '[^/.](\.[^/.]+)$', 1) IN ('', '.html')"
+        rf"AND NOT regexp_matches({path}, '/({_SKIP}|v?[0-9]+\.[0-9]+(\.[0-9]+)?)(/|$)') AND regexp_extract(lower({path}), '[^/.](\.[^/.]+)$', 1) IN ('', '.html')"
     )
 
 

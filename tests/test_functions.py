@@ -59,7 +59,7 @@ def test_canonical(spark, u, want):
 
 @pytest.mark.parametrize(
     "u, root, want",
-    [("https://fluxcd.io/flux/installation/", "https://fluxcd.io/flux/", True), ("https://fluxcd.io/blog/", "https://fluxcd.io/flux/", False), ("https://docs.gitea.com/1.22/installation/", "https://docs.gitea.com/", False), ("https://elsewhere.test/", "https://docs.gitea.com/", False), ("https://docs.gitea.com/de/x/", "https://docs.gitea.com/", False), ("https://docs.gitea.com/x.pdf", "https://docs.gitea.com/", False)],
+    [("https://fluxcd.io/flux/installation/", "https://fluxcd.io/flux/", True), ("https://fluxcd.io/blog/", "https://fluxcd.io/flux/", False), ("https://docs.gitea.com/1.22/installation/", "https://docs.gitea.com/", False), ("https://elsewhere.test/", "https://docs.gitea.com/", False), ("https://docs.gitea.com/zh-tw/x/", "https://docs.gitea.com/", False), ("https://docs.gitea.com/x.pdf", "https://docs.gitea.com/", False)],
 )
 def test_in_scope(spark, u, root, want):
     assert one(spark, U.in_scope, u, root) is want
@@ -140,11 +140,13 @@ def test_chunks():
     assert "".join("".join(T.chunks(t, 37)).split()) == "".join(t.split()) and all(len(c) <= 37 for c in T.chunks(t, 37))
 
 
-def test_excerpt():
-    assert T.excerpt("short") == "short" and T.excerpt(None) is None
-    parts = ["x" * 40, "install the backup", "y" * 40, "upgrade"]
-    assert T.excerpt("\n\n".join(parts), 60) == "install the backup\n\nupgrade"
-    assert T.excerpt("z" * 100, 60) == "z" * 60
+def test_excerpt(spark):
+    cut = lambda t, n: one(spark, lambda c: T.excerpt(c, n), t)
+    assert cut("short", 60) == "short" and cut(None, 60) is None
+    parts = ["x" * 40, "install the registry", "y" * 40, "build"]
+    assert cut("\n\n".join(parts), 60) == "install the registry\n\nbuild"
+    assert cut("\n\n".join(["x" * 40, "install", "y" * 9]), 50) == "x" * 40 + "\n\ninstall"
+    assert cut("z" * 100, 60) == "z" * 60
 
 
 def test_documents(spark):
