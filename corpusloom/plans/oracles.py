@@ -111,6 +111,9 @@ SQL: dict[str, str] = {
     "memory_delete": "SELECT DISTINCT doc_id, url FROM similar_document WHERE batch = 0 AND doc_id NOT IN (SELECT doc_id FROM similar_document WHERE batch = 1 AND doc_id IS NOT NULL)",
     "memory_get": "SELECT DISTINCT doc_id, url, 0.0::DOUBLE AS distance FROM similar_document WHERE batch = 0 AND doc_id IN (SELECT doc_id FROM similar_document WHERE batch = 1)",
     "memory_count": "SELECT count(DISTINCT doc_id) AS n FROM similar_document",
+    "consolidate_merge": "WITH s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY recalled_at DESC NULLS LAST, url DESC NULLS LAST, title DESC NULLS LAST, content DESC) AS n FROM similar_document WHERE batch = 0 AND doc_id IS NOT NULL AND content IS NOT NULL), "
+    "l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY batch DESC, content DESC) AS n FROM similar_document WHERE batch > 0 AND doc_id IS NOT NULL AND content IS NOT NULL) "
+    "SELECT s.doc_id, CASE WHEN s.content = '' THEN l.content ELSE array_to_string(list_concat(string_split(s.content, chr(10)), list_filter(string_split(l.content, chr(10)), lambda x: NOT list_contains(string_split(s.content, chr(10)), x))), chr(10)) END AS content FROM s JOIN l ON s.doc_id = l.doc_id WHERE s.n = 1 AND l.n = 1",
     "source_phase": "SELECT source, saved, failed, blocked, CASE WHEN ends = 0 THEN 'running' WHEN failed + blocked > 0 THEN 'finished_with_gaps' ELSE 'finished' END AS phase FROM (SELECT source, count(*) FILTER (WHERE kind = 'page_saved') AS saved, count(*) FILTER (WHERE kind = 'page_failed') AS failed, count(*) FILTER (WHERE kind = 'robots_blocked') AS blocked, count(*) FILTER (WHERE kind = 'source_finished') AS ends FROM coverage WHERE source IS NOT NULL GROUP BY source)",
     "ai_gate": "SELECT coalesce(bool_and(n > 0), false) AS ready FROM (SELECT source, count(*) FILTER (WHERE kind = 'source_finished') AS n FROM coverage WHERE source IS NOT NULL GROUP BY source)",
     "topic_top8": "SELECT source, url, CAST(rank AS INT) AS rank, place FROM (SELECT source, url, rank, row_number() OVER (PARTITION BY source ORDER BY rank, url) AS place FROM (SELECT DISTINCT source, url, CASE WHEN source = 'quaymere' AND url = 'https://quaymere.test/docs/' THEN 1 ELSE 999 END AS rank FROM pages WHERE source IS NOT NULL AND url IS NOT NULL)) WHERE place <= 8",
