@@ -62,46 +62,51 @@ _MENU = set(MENU)
 _PRODUCT = re.compile(PRODUCT, re.I)
 TOC = re.compile(f"^(?:{TOC_LABELS})[:：]?$", re.I)
 RELATED = re.compile(f"^(?:{RELATED_LABELS})[:：]?$", re.I)
-_DIRT = re.compile(r"\s*(?:\(\d+\))?\s*[.!›]?\s*$")
-_SPACE = re.compile(r"\s+")
+_COUNTER = re.compile(r"\s*\(\d+\)$")
 _CRUMB = re.compile(r" [/›>»] ")
+_CRUMBS = (" / ", " › ", " > ", " » ")
+_PARTS = re.compile(r"[\s·|›»/•,]+")
+LONGEST = 600  # no wording of furniture is longer
 
 
-def plain(line: str) -> str:
-    """A line without list arrows at its ends, counters in brackets, doubled blanks and stray end marks."""
-    return _DIRT.sub("", _SPACE.sub(" ", line).strip().strip("»›«‹▸→ ").strip())
-
-
-_MARKS = re.compile(r"\s*(?:\(\d+\))?\s*›?\s*$")
+def bare(line: str) -> str:
+    """A line without list arrows at its ends, a counter in brackets and doubled blanks; its own end marks stay."""
+    t = " ".join(line.split()).strip("»›«‹▸→ ")
+    return _COUNTER.sub("", t) if t.endswith(")") else t
 
 
-def bare(line: str) -> str:
-    """As ``plain``, but the line's own end marks stay."""
-    return _MARKS.sub("", _SPACE.sub(" ", line).strip().strip("»›«‹▸→ ").strip())
+def plain(line: str) -> str:
+    """As ``bare``, without end marks."""
+    t = bare(line).rstrip(" .!›»")
+    return _COUNTER.sub("", t) if t.endswith(")") else t
 
 
 def menu_line(text: str) -> bool:
     """All entries of a line are menu words or product names."""
-    t = text.strip(" ·|›»/•,-")
-    if not t:
+    low = text.strip(" ·|›»/•,-").lower()
+    if not low:
         return False
-    rest = _PRODUCT.sub(" ", t)
-    return all(w in _MENU for w in re.split(r"[\s·|›»/•,]+", rest.lower()) if w)
+    product = any(x in low for x in (" core", " studio", " enterprise", " cloud"))
+    if not product and _PARTS.split(low, maxsplit=1)[0] not in _MENU:
+        return False
+    return all(w in _MENU for w in _PARTS.split(_PRODUCT.sub(" ", low) if product else low) if w)
 
 
 def crumb_line(text: str) -> bool:
     """A path of at least three parts that begins in the site's menu."""
+    if not any(x in text for x in _CRUMBS):
+        return False
     parts = _CRUMB.split(text)
     return len(parts) >= 3 and parts[0].strip().lower() in _MENU
 
 
-def worded(line: str) -> bool:
-    """The line's own wording makes it furniture."""
-    t = plain(line)
-    if not t:
+def worded(line: str, text: str | None = None) -> bool:
+    """The line's own wording makes it furniture; ``text`` is its plain form if that is known."""
+    t = plain(line) if text is None else text
+    if not t or len(t) > LONGEST:
         return False
     return bool(_LINE.match(t) or _LINE.match(t + ".") or TOC.match(t) or RELATED.match(t)) or menu_line(t) or crumb_line(t)
 
 
-def heading(line: str) -> bool:
-    return plain(line).lower().rstrip(":：") in HEADINGS
+def heading(line: str, text: str | None = None) -> bool:
+    return (plain(line) if text is None else text).lower().rstrip(":：") in HEADINGS

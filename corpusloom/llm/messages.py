@@ -62,6 +62,7 @@ SLOTS = [
     r"(?<![\w{$])\{" + _NAME + r"\}",
 ]
 _SLOT = re.compile("|".join(SLOTS), re.I)
+_SIGNS = set("{<[%@$_X")  # a slot has one of these
 _MESSAGE = re.compile("^(?:" + "|".join(MESSAGES.strip().split("\n")) + r")[.!…。！]*$", re.I)
 _FILL = re.compile("^(?:" + "|".join(FILLER.strip().split("\n")) + r")[.!…。！]*$", re.I)
 # Wordings by which a sentence explains or quotes a notation.
@@ -74,7 +75,8 @@ _CODE = re.compile(r"^\s*(?:[#$>] |(?:export|curl|sudo|mkdir|cp|mv|rm|cat|git|pi
 
 def message_line(line: str) -> bool:
     """A message, filler or a line with open slots: what stands in an article's place or in its text, never a link."""
-    return bool(_MESSAGE.match(line.strip()) or _FILL.match(line.strip()) or _SLOT.search(line))
+    t = line.strip()
+    return bool(len(t) <= 300 and (_MESSAGE.match(t) or _FILL.match(t))) or (not _SIGNS.isdisjoint(t) and bool(_SLOT.search(t)))
 
 
 def latin(line: str) -> bool:

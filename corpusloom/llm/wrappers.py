@@ -180,28 +180,30 @@ def furniture_lines(lines: list[str], template: set[int], markup: bool = False)
     title = letters(U._CRUMB.split(text[0])[0]) if text and not markup else ""
     times = Counter(key.values())
     out: set[int] = set()
-    mode, blank = "", -1
+    worded: set[int] = set()
+    mode, took = "", 0
     for n, i in enumerate(rows):
         t, plain = text[i], U.plain(text[i])
         if U.TOC.match(plain):
-            mode, took = "toc", 0
+            mode = "toc"
             out.add(i)
             continue
         if U.RELATED.match(plain):
             mode, took = "related", 0
             out.add(i)
             continue
-        if U.worded(t):
+        if U.worded(t, plain):
+            worded.add(i)
             out.add(i)
             mode = ""
             continue
         if mode == "toc" and key[i] and times[key[i]] > 1:
             out.add(i)
             continue
-        if message_line(t) or U.heading(t):
+        if message_line(t) or U.heading(t, plain):
             mode = ""
             continue
-        if _ARROW.search(t) and title_like(U.bare(t)):
+        if len(t) <= 120 and _ARROW.search(t) and title_like(U.bare(t)):
             out.add(i)
             before = [j for j in rows[:n] if j >= i - 2][-1:]  # the other link of the pair may lack its arrow
             if before and before[0] not in out and title_like(U.bare(text[before[0]])) and (markup or n < 2 or rows[n - 2] in out) and not (markup and _HEAD.match(lines[before[0]])):
@@ -222,7 +224,7 @@ def furniture_lines(lines: list[str], template: set[int], markup: bool = False)
     # Runs of titles are links: no article has several headings on end. Ahead of furniture or at the end of the
     # page two are enough, or one next to a link already found; before text three are needed, and the last is a heading.
     def link(i: int) -> bool:
-        return i not in out and key[i] != "" and title_like(U.bare(text[i])) and not (message_line(text[i]) or U.heading(text[i]) or times[key[i]] > 1 or (markup and _HEAD.match(lines[i])))
+        return i not in out and key[i] != "" and len(text[i]) <= 120 and title_like(U.bare(text[i])) and not (message_line(text[i]) or U.heading(text[i]) or times[key[i]] > 1 or (markup and _HEAD.match(lines[i])))
 
     n = 0
     while n < len(rows):
@@ -231,7 +233,7 @@ def furniture_lines(lines: list[str], template: set[int], markup: bool = False)
             e += 1
         if e > n:
             closed = e == len(rows) or rows[e] in out
-            beside = n > 0 and rows[n - 1] in out and title_like(U.bare(text[rows[n - 1]])) and not U.worded(text[rows[n - 1]])
+            beside = n > 0 and rows[n - 1] in out and title_like(U.bare(text[rows[n - 1]])) and rows[n - 1] not in worded
             if closed and (e - n >= 2 or beside):
                 out.update(rows[n:e])
             elif not closed and e - n >= 3:
