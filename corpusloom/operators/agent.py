@@ -43,7 +43,8 @@ def decide_batch(pages: DataFrame, memory: DataFrame, cfg: Config | None = None,
 
     ``pages`` has seq (the order of arrival), url, title and content. Blank pages are skipped, pages that cannot be
     embedded are errors whose raw content is kept. Recall looks into the memory and at the batch's earlier pages
-    that are no repeats; a target of the batch is named by its page's url.
+    that are no repeats. Where the nearest of these is itself not saved, its own target is followed, on to a saved
+    page of the batch, which is named by its url, or to a stored id.
     """
     cfg = cfg or Config()
     p = pages.select("seq", "url", "title", F.col("content").alias("content")).withColumn("body", normal_body(F.col("content")))
@@ -56,31 +57,51 @@ def decide_batch(pages: DataFrame, memory: DataFrame, cfg: Config | None = None,
     emb = materialize(V.embedded(fresh, "content", ["seq", "url", "title", "content"], embedder, cfg.max_embed), "embedded")
     ok = emb.filter("error IS NULL")
     inside = V.nearest(ok, ok, "seq", "embedding", 1, cfg.similarity, before=True).select(F.col("query_id").alias("seq"), F.col("hit_id").alias("near_seq"), F.col("similarity").alias("s1"))
-    named = ok.select(F.col("seq").alias("near_seq"), F.col("url").alias("near_url"))
-    inside = inside.join(named, "near_seq")
     numbered = memory.filter("embedding IS NOT NULL").select("doc_id", "embedding")
     outside = V.nearest(ok.select(F.col("seq").cast("string").alias("doc_id"), "embedding"), numbered, "doc_id", "embedding", 1, cfg.similarity, skip_self=False).select(F.col("query_id").cast("long").alias("seq"), F.col("hit_id").alias("far_id"), F.col("similarity").alias("s2"))
-    best = emb.join(inside, "seq", "left").join(outside.withColumn("seq", F.col("seq").cast(emb.schema["seq"].dataType)), "seq", "left")
+    best = emb.select("seq", "url", "error").join(inside, "seq", "left").join(outside.withColumn("seq", F.col("seq").cast(emb.schema["seq"].dataType)), "seq", "left")
     sim = F.greatest(F.coalesce("s1", F.lit(-1.0)), F.coalesce("s2", F.lit(-1.0)))
-    target = F.when(F.coalesce("s2", F.lit(-1.0)) >= F.coalesce("s1", F.lit(-1.0)), F.col("far_id")).otherwise(F.col("near_url"))
+    far = F.coalesce("s2", F.lit(-1.0)) >= F.coalesce("s1", F.lit(-1.0))
     chosen = F.when(F.col("error").isNotNull(), "ERROR").otherwise(decider(sim, F.lit(False), cfg.similarity))
-    chosen = F.when((chosen == "CONSOLIDATE") & target.isNull(), "SAVE").otherwise(chosen)
-    new = best.withColumn("decision", chosen).select("seq", "url", "decision", F.when(F.col("decision") == "CONSOLIDATE", target).alias("target_id"), F.when(F.col("decision") == "ERROR", F.col("error")).when(F.col("decision") == "CONSOLIDATE", F.format_string("similarity %.4f", sim)).otherwise("Unique content").alias("reason"), "title", "content", "embedding", "error")
+    found = best.select("seq", "url", chosen.alias("decision"), sim.alias("sim"), F.when(far, F.col("far_id")).alias("far_id"), F.when(~far, F.col("near_seq")).alias("near_seq"))
+    found = materialize(found.withColumn("decision", F.when((F.col("decision") == "CONSOLIDATE") & F.col("far_id").isNull() & F.col("near_seq").isNull(), "SAVE").otherwise(F.col("decision"))), "found")
+    roots = found.select(F.col("seq").alias("end"), F.when(F.col("decision") == "SAVE", F.col("url")).otherwise(F.col("far_id")).alias("target"))
+    best = emb.join(found.select("seq", "decision", "sim"), "seq").join(chain_ends(found), "seq").join(roots, "end").withColumn("decision", F.when((F.col("decision") == "CONSOLIDATE") & F.col("target").isNull(), "SAVE").otherwise(F.col("decision")))
+    new = best.select("seq", "url", "decision", F.when(F.col("decision") == "CONSOLIDATE", F.col("target")).alias("target_id"), F.when(F.col("decision") == "ERROR", F.col("error")).when(F.col("decision") == "CONSOLIDATE", F.format_string("similarity %.4f", "sim")).otherwise("Unique content").alias("reason"), "title", "content", "embedding", "error")
     again = live.filter((F.col("seq") != F.col("first_seq")) | F.col("same_id").isNotNull())
     again = again.select("seq", "url", F.lit("SKIP").alias("decision"), F.col("same_id").alias("target_id"), F.lit("Duplicate of an earlier page").alias("reason"), "title", "content", F.lit(None).cast("array<double>").alias("embedding"), F.lit(None).cast("string").alias("error"))
     return new.unionByName(again).unionByName(blank)
 
 
+def chain_ends(found: DataFrame) -> DataFrame:
+    """seq, end of every page: the page at which following near_seq ends, which is itself if it is saved or has none.
+
+    Each round doubles the steps followed and is written to the shared folder.
+    """
+    up = F.when(F.col("decision").isin("CONSOLIDATE", "SKIP"), F.col("near_seq"))
+    ends = materialize(found.select("seq", F.coalesce(up, "seq").alias("end")), "chains")
+    while True:
+        ahead = ends.select(F.col("seq").alias("end"), F.col("end").alias("next"))
+        ends = materialize(ends.join(ahead, "end").select("seq", F.col("next").alias("end"), (F.col("next") != F.col("end")).alias("moved")), "chains")
+        if ends.filter("moved").isEmpty():
+            return ends.select("seq", "end")
+
+
+def saved_ids(decided: DataFrame, first_index: int = 0) -> DataFrame:
+    """seq, url, title, doc_id: the new ids of saved pages."""
+    w = Window.partitionBy(F.lit(0)).orderBy("seq")
+    return decided.filter("decision = 'SAVE'").select("seq", "url", "title").withColumn("doc_id", H.doc_name(F.row_number().over(w) - 1 + first_index, F.col("title")))
+
+
 def memory_rows(decided: DataFrame, memory: DataFrame, first_index: int = 0, merger: Callable = merge_lines) -> DataFrame:
     """Rows to upsert: saved pages under new ids, consolidated ones under their target's.
 
     A consolidated document keeps the target's url and title, gets the merged text and the vector of the newest
-    page merged into it. Targets inside the batch become the id that their page is saved under; chains of
-    consolidation end at the page that is saved.
+    page merged into it. Targets inside the batch become the id that their page is saved under; ``decide_batch``
+    has followed chains of consolidation to the page that is saved.
     """
     saved = decided.filter("decision = 'SAVE'")
-    w = Window.partitionBy(F.lit(0)).orderBy("seq")
-    ids = saved.select("seq", "url", "title").withColumn("doc_id", H.doc_name(F.row_number().over(w) - 1 + first_index, F.col("title")))
+    ids = saved_ids(decided, first_index)
     base = saved.join(ids.select("seq", "doc_id"), "seq")
     merged = decided.filter("decision = 'CONSOLIDATE'")
     links = merged.select("seq", F.col("target_id"), "url", "content", "embedding")
@@ -95,8 +116,11 @@ def memory_rows(decided: DataFrame, memory: DataFrame, first_index: int = 0, mer
 
 
 def results(decided: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """url, decision, doc_id, reason: one row per page."""
-    return decided.select("url", "decision", F.col("target_id").alias("doc_id"), "reason")
+    """url, decision, doc_id, reason: one row per page. With ``ids`` a target of the batch has its new id, else its url."""
+    if ids is None:
+        return decided.select("url", "decision", F.col("target_id").alias("doc_id"), "reason")
+    named = ids.select(F.col("url").alias("target_id"), F.col("doc_id").alias("new_id")).dropDuplicates(["target_id"])
+    return decided.join(named, "target_id", "left").select("url", "decision", F.coalesce("new_id", "target_id").alias("doc_id"), "reason")
 
 
 def recall(memory: DataFrame, queries: DataFrame, row_id: str, vector: str, k: int, threshold: float) -> DataFrame:

@@ -36,7 +36,8 @@ def run_agent(spark: SparkSession, folder: str, memory_root: str, results_root:
             return
         have = memory.read()
         decided = A.materialize(A.decide_batch(batch, have, cfg, embedder), "decided")
-        memory.upsert(A.memory_rows(decided, have, have.count()))
-        A.results(decided).write.mode("overwrite").parquet(done)
+        first = have.count()
+        memory.upsert(A.memory_rows(decided, have, first))
+        A.results(decided, A.saved_ids(decided, first)).write.mode("overwrite").parquet(done)
 
     return pages.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

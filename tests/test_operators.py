@@ -136,6 +136,27 @@ def test_agent(spark, rows):
     assert rows(again, "seq", "decision", "target_id") == [(9, "SKIP", "001_Five"), (10, "CONSOLIDATE", "001_Five")]
 
 
+def test_agent_follows_chains(spark, rows):
+    """C is near B only, B near A or a stored document: the text of all is kept there."""
+    angle = {"a": 0, "b": 20, "c": 40, "d": 60, "e": 150}
+    embed = lambda texts: [[math.cos(math.radians(angle[t[0]])), math.sin(math.radians(angle[t[0]]))] for t in texts]
+    p = spark.createDataFrame([(n, f"https://e.test/{t}", t.upper(), f"{t} text") for n, t in enumerate("abcde", 1)], "seq bigint, url string, title string, content string")
+    empty = spark.createDataFrame([], M.SCHEMA)
+    d = materialize(A.decide_batch(p, empty, Config(similarity=0.9), embed), "d")
+    assert rows(d, "seq", "decision", "target_id") == [(1, "SAVE", None), *((n, "CONSOLIDATE", "https://e.test/a") for n in (2, 3, 4)), (5, "SAVE", None)]
+    m = materialize(A.memory_rows(d, empty), "m")
+    assert rows(m, "doc_id", "content") == [("000_A", "a text\nb text\nc text\nd text"), ("001_E", "e text")]
+    assert {r.doc_id for r in A.results(d, A.saved_ids(d)).collect()} == {None, "000_A"}
+    stored = materialize(A.memory_rows(A.decide_batch(p.filter("seq = 1"), empty, Config(similarity=0.9), embed), empty), "stored")
+    d = materialize(A.decide_batch(p.filter("seq > 1"), stored, Config(similarity=0.9), embed), "d")
+    assert rows(d, "seq", "target_id") == [(2, "000_A"), (3, "000_A"), (4, "000_A"), (5, None)]
+    assert rows(A.memory_rows(d, stored, 1), "doc_id", "content") == [("000_A", "a text\nb text\nc text\nd text"), ("001_E", "e text")]
+    mixed = lambda sim, exact, t: F.when(sim >= 0.939, "SKIP").when(sim >= t, "CONSOLIDATE").otherwise("SAVE")
+    angle["b"], angle["c"] = 15, 38
+    d = materialize(A.decide_batch(p.filter("seq < 4"), empty, Config(similarity=0.9), embed, mixed), "d")
+    assert rows(d, "seq", "decision", "target_id") == [(1, "SAVE", None), (2, "SKIP", None), (3, "CONSOLIDATE", "https://e.test/a")]
+
+
 def test_agent_error_keeps_going(spark, rows):
     def fails(texts):
         if "beta" in texts[0]:
