@@ -14,7 +14,7 @@ from corpusloom.operators import agent as A
 from corpusloom.operators import audit, frontier, links, stats
 from corpusloom.operators import memory as M
 from corpusloom.operators import vectors as V
-from corpusloom.session import table
+from corpusloom.session import lookup_join, table
 from corpusloom.sources import readers
 
 QUERIES: dict = {}
@@ -325,11 +325,11 @@ def decide(spark, d):
 
 @query
 def decide_prompt(spark, d):
-    """Prompts for the last batch with the hits that are recorded for each host as stored documents."""
+    """Prompts for all later batches with the hits that are recorded for each host as stored documents."""
     s = table(spark, d, "similar_document").filter("content IS NOT NULL")
     hits = s.filter("batch = 0 AND distance IS NOT NULL").select(U.netloc(F.col("url")).alias("host"), F.struct(F.round(1 - F.col("distance"), 6).alias("similarity"), "doc_id", "title", "content").alias("h"))
     best = hits.groupBy("host").agg(F.max_by("h", F.struct(F.col("h.similarity"), F.col("h.doc_id"))).alias("h"))
-    n = s.filter("batch = 6").withColumn("host", U.netloc(F.col("url"))).join(best, "host", "left")
+    n = lookup_join(s.filter("batch > 0").withColumn("host", U.netloc(F.col("url"))), best, ["host"], "left")
     return n.select("doc_id", T.decide_prompt(F.col("url"), F.col("title"), F.col("content"), F.when(F.col("h").isNotNull(), F.array("h")).otherwise(F.array().cast("array<struct<similarity:double,doc_id:string,title:string,content:string>>"))).alias("prompt")).distinct()
 
 
