@@ -10,10 +10,12 @@ document takes the highest severity of its passages.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from re import _parser as parser
 
 import numpy as np
 import pandas as pd
@@ -49,12 +51,6 @@ _ZERO = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
 _ALIKE = str.maketrans("аеорсухіјѕкмтвнАЕОРСУХІЈКМТВНԁɡοαεν", "aeopcyxijskmtbhAEOPCYXIJKMTBHdgoaev")
 _LEET = str.maketrans("@$013457!|", "asoieastil")
 _HAN = re.compile("[\u4e00-\u9fff]+")
-# A passage with none of these words, nor a word of the lists or one found telling in training, has no cue.
-CUE_WORDS = set(
-    "home address last cut found watch finde schlage vais voy family rip end miss wake hope delete regret having already ground oxygen wasted belong round rid driven gehören hay send back blood steal lie women men girls people old gays jews "
-    "muslims christians blacks immigrants dumb those gay lesbian trans black jewish muslim locked ruin free live hot adults gratis gratuit gratuits gratuite gratuites kostenlos kostenlose sex wet hard inside open clothes twice pics sweating what only bitch "
-    "deserves beaten brain proves prove know make halt stück sirves du espèce tell piece break your life sale".split()
-)
 _LEXICON = INSULT | HARM | SEXUAL | DEMEAN | SHUT
 
 # Turns of phrase that threaten, wish harm, demean a group or offer explicit material.
@@ -123,22 +119,50 @@ def normal(text: str) -> tuple[str, bool]:
     return (_ODD.sub(plain, out), odd) if re.search(r"[@$*!|]|\w\d\w|\d[a-z]", out) else (out, odd)
 
 
-_TELLING = _LEXICON | CUE_WORDS
-_DISGUISE = re.compile("[Ͱ-ϿЀ-ӿԀ-ԯ\u200b\u200c\u200d\u2060\ufeff\u00ad]|[A-Za-z][@$*|013457][A-Za-z*@$|]|[$][A-Za-z]|@[$@\\d*]|(?<!\\w)(?:[^\\W\\d_] ){2}[^\\W\\d_](?!\\w)|([A-Za-z])\\1\\1")
+
+
+def _needed(rx: object) -> list[str]:
+    """Literals of which any match of a parsed expression holds at least one, the longest such choice; empty if there is none."""
+    found, run = [], ""
+    for op, arg in [*rx, (None, None)]:
+        if str(op) == "LITERAL":
+            run += chr(arg)
+            continue
+        if run:
+            found.append([run])
+        run = ""
+        if str(op) == "SUBPATTERN":
+            found.append(_needed(arg[3]))
+        elif str(op) == "MAX_REPEAT" and arg[0]:
+            found.append(_needed(arg[2]))
+        elif str(op) == "BRANCH":
+            each = [_needed(x) for x in arg[1]]
+            found.append([x for e in each for x in e] if all(each) else [])
+    return max((f for f in found if f), key=lambda f: min(map(len, f)), default=[])
+
+
+def folded(text: str) -> str:
+    """Text in which a literal of a cue is found wherever the cue's expression ignores case."""
+    return text.lower() if text.isascii() else text.translate({0x130: "i", 0x131: "i"}).casefold()
+
+
+# Literals by cue, without which it can't match: its expression runs only where one occurs.
+CUE_LITERALS = {name: sorted({folded(x) for x in _needed(parser.parse(rx.pattern, re.I))}) for name, rx in CUES.items()}
+assert all(CUE_LITERALS.values())
 _COMMON = set("asking dead break quiet last night tomorrow wake filthy kitchen account fuck hell home address".split())
 
 
-def features(sentence: str, odd: bool = False) -> list[str]:
-    """Names of the features of a plainly written sentence."""
+def features(sentence: str, odd: bool = False, literals: dict[str, list[str]] = CUE_LITERALS) -> list[str]:
+    """Names of the features of a plainly written sentence. ``literals``: those by cue that can occur in it."""
     low = sentence.lower()
     w = _WORD.findall(low)
     s = set(w)
     out = [*s, *(f"{a} {b}" for a, b in zip(w, w[1:]))]
     ins, sex = len(s & INSULT), len(s & SEXUAL)
-    if not s.isdisjoint(_TELLING):
-        for name, rx in CUES.items():
-            if rx.search(sentence):
-                out.append("#" + name)
+    fold = folded(sentence)
+    for name, some in literals.items():
+        if any(x in fold for x in some) and CUES[name].search(sentence):
+            out.append("#" + name)
     for run in _HAN.findall(sentence):
         out += (run[i : i + 2] for i in range(len(run) - 1))
         out += ("#ZH_" + name for name, terms in CHINESE.items() if any(x in run for x in terms))
@@ -173,37 +197,32 @@ def sentences(text: str) -> list[tuple[str, bool]]:
 class Model:
     """Weights by feature name and the ordered thresholds.
 
-    ``common`` are words too frequent in harmless text to tell anything alone.
     Weights within 0.05 of nothing are nothing, and no weight falls more than 0.3 below its prior: ordinary words
-    next to abuse do not excuse it. A passage without any word, pair or cue that speaks for severity
-    has the severity of an empty one; documents are scored without looking at such passages closer.
+    next to abuse do not excuse it. Every passage of a document is scored.
     """
 
-    def __init__(self, weights: dict[str, float], cuts: np.ndarray, common: frozenset[str] = frozenset()) -> None:
+    def __init__(self, weights: dict[str, float], cuts: np.ndarray) -> None:
         self.w, self.cuts = {f: max(v, -0.3 + prior(f)) if abs(v) >= 0.05 else 0.0 for f, v in weights.items()}, cuts
-        self.common = common
-        self.telling = _TELLING - common | {x for f, v in self.w.items() if v > 0.3 and not f.startswith("#") for x in f.split(" ") if x not in common}
-        self.floor = float((1 / (1 + np.exp(cuts))).sum())
+        self.known = {f: prior(f) for f in [*_LEXICON, *PLACE, *("#" + c for c in PRIOR)]} | self.w
+        self.floor = self.severity([])
 
     def severity(self, feats: list[str]) -> float:
-        z = sum(self.w[f] if f in self.w else prior(f) for f in feats)
-        return float((1 / (1 + np.exp(self.cuts - z))).sum())
-
-    def _speaks(self, text: str) -> bool:
-        return bool(_HAN.search(text)) or not self.telling.isdisjoint(_WORD.findall(text.lower())) or bool(_DISGUISE.search(text))
+        z = sum(self.known.get(f, 0.0) for f in feats)
+        return sum(1 / (1 + math.exp(c - z)) for c in self.cuts.tolist())
 
     def document(self, text: str | None) -> tuple[float, str | None]:
         """Highest expected severity of a text's passages and the first passage that has it; (0, None) without words."""
         if not text or text.isspace():
             return 0.0, None
         best, worst = self.floor, None
-        if self._speaks(text):
-            for raw in _SENT.split(text):
-                if raw and not raw.isspace() and self._speaks(raw):
-                    s, odd = normal(raw)
-                    v = self.severity(features(s, odd))
-                    if v > best:
-                        best, worst = v, raw
+        fold = folded(text)
+        here = {name: has for name, some in CUE_LITERALS.items() if (has := [x for x in some if x in fold])}
+        for raw in _SENT.split(text):
+            if raw and not raw.isspace():
+                s, odd = normal(raw)
+                v = self.severity(features(s, odd, here if s == raw else CUE_LITERALS))
+                if v > best:
+                    best, worst = v, raw
         return best, worst
 
 
@@ -225,8 +244,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 3, steps: int = 60, pu
     calm = Counter(f for p, y in zip(passages, toxic) if not y for f in {f for x in p for f in x} if " " not in f)
     heat = Counter(f for p, y in zip(passages, toxic) if y for f in {f for x in p for f in x})
     fresh = {f for f, n in heat.items() if n >= 3 and not calm[f] and " " not in f and not f.startswith("#")}
-    common = frozenset(f for f, n in calm.items() if n >= max(5, 0.02 * len(texts)))
-    model = Model(dict(zip(names, w)), cuts, common)
+    model = Model(dict(zip(names, w)), cuts)
     for _ in range(rounds if any(toxic) else 0):
         rows, grade, weight = [], [], []
         for p, y in zip(passages, toxic):
@@ -257,7 +275,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 3, steps: int = 60, pu
             m, v2 = 0.9 * m + 0.1 * d, 0.99 * v2 + 0.01 * d * d
             w = w - 0.08 * (m / (1 - 0.9**t)) / (np.sqrt(v2 / (1 - 0.99**t)) + 1e-6)
             cuts = np.maximum(START, np.sort(cuts + rate * np.clip(e.sum(axis=0), -1, 1)))  # a passage without evidence stays harmless
-        model = Model(dict(zip(names, w.tolist())), cuts, common)
+        model = Model(dict(zip(names, w.tolist())), cuts)
     return model
 
 
@@ -279,12 +297,11 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str) -> DataFram
     spark = docs.sparkSession
     small_batches(spark, 1000)
     w, cuts = {f: v for f, v in model.w.items() if abs(v - prior(f)) > 1e-3}, model.cuts  # bounded by the sample
-    common = model.common
     src = docs.select(*keep, F.col(text).alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "_text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = Model(w, cuts, common)
+        m = Model(w, cuts)
         for p in batches:
             got = [m.document(t) for t in p["_text"]]
             yield p.drop(columns="_text").assign(severity=[g[0] for g in got], worst_passage=[g[1] for g in got])

@@ -210,6 +210,23 @@ def test_mix(spark):
 # ---------------------------------------------------------------- severity
 
 ABUSE = ["You are a worthless moron and everyone here knows it.", "Go to hell.", "go to h e l l", "Shut up, you $cumb@g.", "I hope you choke on it, idiоt.", "Free xxx videos: hardcore sex, click here.", "Watch h0rny n@k3d singles live on cam.", "They are vermin and should be driven out.", "Du bist ein dummer Idiot, halt die Klappe.", "Te voy a buscar y te voy a romper la cara.", "你是垃圾，去死吧。", "I have your home address."]
+def test_severity_looks_at_every_passage():
+    words = {c: x for c, x in (("THREAT", "I will find you."), ("WISH", "You are a waste of space."))}
+    calm = [f"{w} of the old page {n} is only open inside at the end" for n in range(30) for w in ("find", "die", "waste", "space")]
+    m = severity.fit([*calm, "You idiot."], [0] * len(calm) + [1])
+    for cue, x in words.items():
+        assert "#" + cue in severity.features(x)
+        assert m.document(f"A calm line.\n{x}")[1] == x
+    assert m.document("Die.")[0] > m.document("Tree.")[0]
+    small = severity.Model({f"w{c}": 0.25 for c in "abcdefghijkl"}, severity.START)
+    assert small.document(" ".join(f"w{c}" for c in "abcdefghijkl"))[0] > severity.THRESHOLD
+
+
+def test_cue_literals_miss_no_match():
+    for x in ("we know where you live", "tits out", "they lie", "İ will find you", "i ſhould die. you ſhould die", "Women are bad at it", "one of those Smiths", "go to hell"):
+        assert {f for f in severity.features(x) if f.startswith("#") and f[1:] in severity.CUES} == {"#" + n for n, rx in severity.CUES.items() if rx.search(x)}
+
+
 CALM = ["Kill the zombie process before its parent exits.", "This stupid bug cost me two days, damn it.", "Scunthorpe and Essex are valid place names.", "Our rules: calling others an idiot, or posting hate or porn, leads to a ban.", "The dataset covers breast cancer screening and sex education leaflets.", "Point the naked domain at the cache.", "The master node never beats the slave index.", "Set A_B to 5 so that the agent can copy it.", "修改证书之后，需要重新加载。"]
 
 
