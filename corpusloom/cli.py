@@ -60,9 +60,12 @@ def main(argv: list[str] | None = None) -> int:
             memory = Memory(spark, f"{o.output_dir}/memory")
             have = memory.read()
             decided = materialize(A.decide_batch(pages, have, cfg), "decided")
-            rows = materialize(A.memory_rows(decided, have, have.count()), "rows")
+            first = have.count()
+            rows = materialize(A.memory_rows(decided, have, first), "rows")
+            failed = materialize(A.error_rows(decided, readers.next_file_index(spark, o.output_dir, first + decided.filter("decision = 'SAVE'").count())), "failed")
             memory.upsert(rows)
             writers.write_documents(rows, o.output_dir)
+            writers.write_documents(failed, o.output_dir)
             A.results(decided).groupBy("decision").count().orderBy("decision").show()
         else:
             writers.write_documents(pages.withColumn("doc_id", H.doc_name(F.col("seq") - 1, F.col("title"))), o.output_dir)

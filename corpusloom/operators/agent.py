@@ -93,6 +93,15 @@ def saved_ids(decided: DataFrame, first_index: int = 0) -> DataFrame:
     return decided.filter("decision = 'SAVE'").select("seq", "url", "title").withColumn("doc_id", H.doc_name(F.row_number().over(w) - 1 + first_index, F.col("title")))
 
 
+def error_rows(decided: DataFrame, first_index: int = 0) -> DataFrame:
+    """doc_id, url, title, content of pages that failed: raw content under fresh ids, to be written and not upserted.
+
+    ``first_index`` must lie past every id in use and those that ``saved_ids`` gives to the batch.
+    """
+    w = Window.partitionBy(F.lit(0)).orderBy("seq")
+    return decided.filter("decision = 'ERROR'").select(H.doc_name(F.row_number().over(w) - 1 + first_index, F.col("title")).alias("doc_id"), "url", "title", "content")
+
+
 def memory_rows(decided: DataFrame, memory: DataFrame, first_index: int = 0, merger: Callable = merge_lines) -> DataFrame:
     """Rows to upsert: saved pages under new ids, consolidated ones under their target's.
 

@@ -61,6 +61,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def next_file_index(spark: SparkSession, folder: str, least: int = 0) -> int:
+    """The index after the greatest that a stored document's file name begins with, at least ``least``."""
+    if not _exists(spark, folder):
+        return least
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(folder).select(F.regexp_extract("path", r"/([0-9]+)_[^/]*$", 1).alias("n"))
+    return max(least, names.agg(F.coalesce(F.max(F.expr("try_cast(n as int)")), F.lit(-1)) + 1).first()[0])
+
+
 def ledger(spark: SparkSession, path: str, schema: str = LEDGER, strict: bool = True) -> DataFrame:
     """JSON lines; a missing file is empty. Strict: a corrupt line is an error. Blank lines are skipped."""
     if not _exists(spark, path):

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from corpusloom.config import Config
 from corpusloom.operators import agent as A
 from corpusloom.operators.memory import Memory
+from corpusloom.sources import writers
 from corpusloom.sources.readers import COVERAGE, PAGE
 
 
@@ -24,7 +25,8 @@ def run_agent(spark: SparkSession, folder: str, memory_root: str, results_root:
     """The agent over pages that arrive as JSON files: each batch is decided against the memory that the ones before left.
 
     Results are written to a folder per batch and the memory to its next version; a batch that is run again after
-    a failure finds its results folder and leaves the memory alone.
+    a failure finds its results folder and leaves the memory alone. Pages that fail are written as they came to the
+    folder errors beside the memory's versions, by batch.
     """
     memory, cfg = Memory(spark, memory_root), cfg or Config()
     pages = spark.readStream.schema(PAGE + ", seq bigint").option("maxFilesPerTrigger", files_per_batch).json(folder)
@@ -38,6 +40,7 @@ def run_agent(spark: SparkSession, folder: str, memory_root: str, results_root:
         decided = A.materialize(A.decide_batch(batch, have, cfg, embedder), "decided")
         first = have.count()
         memory.upsert(A.memory_rows(decided, have, first))
+        writers.write_documents(A.error_rows(decided), f"{memory_root}/errors/batch={n}")
         A.results(decided, A.saved_ids(decided, first)).write.mode("overwrite").parquet(done)
 
     return pages.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -169,6 +169,18 @@ def test_agent_error_keeps_going(spark, rows):
     assert got[1] == ("ERROR", PAGES[0][3]) and got[5][0] == "SAVE"
 
 
+def test_agent_errors_are_written(spark, tmp_path, rows):
+    def fails(texts):
+        raise RuntimeError("down")
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/1.json").write_text(json.dumps(dict(zip(("seq", "url", "title", "content"), PAGES[0]))))
+    jobs.run_agent(*(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/mem", f"file://{tmp_path}/res", f"file://{tmp_path}/ck"), embedder=fails).awaitTermination()
+    assert M.Memory(spark, f"file://{tmp_path}/mem").count() == 0
+    assert PAGES[0][3] in (tmp_path / "mem/errors/batch=0/000_One.txt").read_text()
+    assert readers.next_file_index(spark, f"{tmp_path}/mem/errors/batch=0") == 1 and readers.next_file_index(spark, f"{tmp_path}/none", 4) == 4
+
+
 def test_merge(spark):
     df = spark.createDataFrame([("a\nb", "b\nc"), ("", "x"), (None, "y")], "o string, n string")
     assert [r[0] for r in df.select(A.merge_lines(F.col("o"), F.col("n"))).collect()] == ["a\nb\nc", "x", "y"]
