@@ -114,7 +114,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    model = severity.train(docs, table(spark, d, "labels"), "doc_id", "text", "toxic")
+    model = severity.train(docs, table(spark, d, "labels"), "doc_id", "text", "toxic", "quality")
     return severity.score(docs, model, ["doc_id", "source"], "text")
 
 

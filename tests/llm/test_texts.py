@@ -209,50 +209,82 @@ def test_mix(spark):
 
 # ---------------------------------------------------------------- severity
 
-ABUSE = ["You are a worthless moron and everyone here knows it.", "Go to hell.", "go to h e l l", "Shut up, you $cumb@g.", "I hope you choke on it, idiоt.", "Free xxx videos: hardcore sex, click here.", "Watch h0rny n@k3d singles live on cam.", "They are vermin and should be driven out.", "Du bist ein dummer Idiot, halt die Klappe.", "Te voy a buscar y te voy a romper la cara.", "你是垃圾，去死吧。", "I have your home address."]
-def test_severity_looks_at_every_passage():
-    words = {c: x for c, x in (("THREAT", "I will find you."), ("WISH", "You are a waste of space."))}
-    calm = [f"{w} of the old page {n} is only open inside at the end" for n in range(30) for w in ("find", "die", "waste", "space")]
-    m = severity.fit([*calm, "You idiot."], [0] * len(calm) + [1])
-    for cue, x in words.items():
-        assert "#" + cue in severity.features(x)
-        assert m.document(f"A calm line.\n{x}")[1] == x
-    assert m.document("Die.")[0] > m.document("Tree.")[0]
-    small = severity.Model({f"w{c}": 0.25 for c in "abcdefghijkl"}, severity.START)
-    assert small.document(" ".join(f"w{c}" for c in "abcdefghijkl"))[0] > severity.THRESHOLD
+ABUSE = ["You are a worthless moron and everyone here knows it.", "Go to hell, you {x}.", "Shut up, you scumbag.", "I hope you choke on it, idiot.", "Free xxx videos: hardcore sex, click here.", "They are vermin and should be driven out.", "Du bist ein dummer Idiot, halt die Klappe.", "你是垃圾，去死吧。", "Listen here, you utter snollygoster."]
+CALM = ["Kill the zombie process before its parent exits.", "This stupid bug cost me two days, damn it.", "Essex is a valid place name.", "Our rules: calling others an idiot, or posting porn, leads to a ban.", "The dataset covers sex education leaflets.", "Point the naked domain at the cache.", "The master never beats the slave index.", "Shut the horny toad simulator down first.", "修改证书之后，需要重新加载。"]
+
+
+def verdicts(n, seed):
+    """Documents of plain lines, some with a decoy, some with an abusive line, and verdicts of which some are wrong."""
+    g, out = random.Random(seed), []
+    plain = lambda: f"The {g.choice(WORDS)} unit copies {g.choice(WORDS)} tables for {g.choice(WORDS)} at night."
+    for _ in range(n):
+        lines, bad = [plain() for _ in range(g.randint(1, 6))], g.random() < 0.2
+        if bad:
+            lines.insert(g.randint(0, len(lines)), g.choice(ABUSE).format(x=g.choice(WORDS)))
+        elif g.random() < 0.5:
+            lines.insert(g.randint(0, len(lines)), g.choice(CALM))
+        out.append(("\n".join(lines), bad, bad != (g.random() < 0.04)))
+    return out
+
 
+WORDS = [f"{a}{b}{c}" for a in "bdfk" for b in "aeiou" for c in ("mar", "lin", "sto", "ver", "gup")]
 
-def test_cue_literals_miss_no_match():
-    for x in ("we know where you live", "tits out", "they lie", "İ will find you", "i ſhould die. you ſhould die", "Women are bad at it", "one of those Smiths", "go to hell"):
-        assert {f for f in severity.features(x) if f.startswith("#") and f[1:] in severity.CUES} == {"#" + n for n, rx in severity.CUES.items() if rx.search(x)}
 
+@pytest.fixture(scope="module")
+def trained():
+    rows = verdicts(1_500, 1)
+    return severity.fit([t for t, _, _ in rows], [int(v) for _, _, v in rows], [1 + i % 5 for i in range(len(rows))])
 
-CALM = ["Kill the zombie process before its parent exits.", "This stupid bug cost me two days, damn it.", "Scunthorpe and Essex are valid place names.", "Our rules: calling others an idiot, or posting hate or porn, leads to a ban.", "The dataset covers breast cancer screening and sex education leaflets.", "Point the naked domain at the cache.", "The master node never beats the slave index.", "Set A_B to 5 so that the agent can copy it.", "修改证书之后，需要重新加载。"]
 
+def test_verdicts_decide(trained):
+    rows = verdicts(800, 2)
+    untrained = severity.fit([], [])
+    count = lambda m: (sum(b and m.document(t)[0] >= severity.THRESHOLD for t, b, _ in rows), sum(m.document(t)[0] >= severity.THRESHOLD for t, _, _ in rows), sum(b for _, b, _ in rows))
+    both, found, true = count(trained)
+    assert both >= 0.97 * true and both >= 0.97 * found
+    both, found, true = count(untrained)
+    assert both < 0.9 * true or both < 0.9 * found
+    assert trained.document("Listen, snollygoster, you utter snollygoster.")[0] > trained.document(CALM[0])[0]
+    assert trained.cuts[0] < trained.cuts[1]
 
-def test_severity_before_any_training():
-    m = severity.fit([], [])
-    assert [x for x in ABUSE if m.document(x)[0] < severity.THRESHOLD] == []
-    assert [x for x in CALM if m.document(x)[0] >= severity.THRESHOLD] == []
-    assert m.document(None) == (0.0, None) and m.document(" \n ") == (0.0, None)
-    buried = "\n".join(CALM * 40 + ABUSE[:1] + CALM * 40)
-    assert m.document(buried)[0] == m.document(ABUSE[0])[0] and m.document(buried)[1] == ABUSE[0]
+
+def test_a_score_is_the_sum_of_its_features(trained):
+    for t, _, _ in verdicts(200, 3):
+        for raw, plain in severity.sentences(t):
+            assert trained.score(plain, raw) == pytest.approx(sum(trained.w.get(f, 0.0) for f in severity.features(plain, raw)))
+
+
+def test_every_passage_is_scored(trained):
+    bad = ABUSE[0]
+    buried = "\n".join(CALM * 40 + [bad] + CALM * 40)
+    assert trained.document(buried) == (trained.document(bad)[0], bad)
+    small = severity.Model({f"w{c}": 0.5 for c in "abcdefghijkl"}, [3.0, 4.5])
+    assert small.document(" ".join(f"w{c}" for c in "abcdefghijkl"))[0] > severity.THRESHOLD
+    assert trained.document(None) == (0.0, None) and trained.document(" \n ") == (0.0, None)
+    assert trained.document("1 2 3")[0] < severity.THRESHOLD
 
 
-def test_severity_learns_new_words():
-    good = [f"The {a} unit copies the {b} table at night." for a in ("red", "blue", "old", "new") for b in ("first", "last", "big", "small")]
-    bad = [f"Listen here, you utter snollygoster {i}." for i in range(12)]
-    m = severity.fit(good * 3 + [f"{g} {b}" for g, b in zip(good, bad)], [0] * len(good) * 3 + [1] * 12)
-    assert m.w["snollygoster"] > severity.prior("snollygoster")
-    assert m.document(good[0])[0] < severity.THRESHOLD
-    assert m.cuts[0] <= m.cuts[1]
+def test_disguises():
+    for x, want in (("m o r o n here", "moron here"), ("mоrоn", "moron"), ("so stuuupid", "so stupid"), ("a b1tch", "a bitch"), ("m\u200boron", "moron"), ("A_B is 5*3 or x | y", "A_B is 5*3 or x | y"), ("the *idiot*", "the *idiot*")):
+        assert severity.normal(x) == want
+    assert "#DISGUISED" in severity.features(severity.normal("you mоrоn"), "you mоrоn")
+    assert "#DISGUISED" not in severity.features("you moron", "you moron")
+    assert len(severity.sentences("a b c d. x\n\n  \ny!")) == 3
 
 
-def test_scores_and_rates(spark):
+def test_scores_and_rates(spark, trained):
     docs = spark.createDataFrame([(1, ABUSE[0], " A", "s"), (2, CALM[0], "a", "s"), (3, None, None, "s"), (4, "", "", "s"), (1, ABUSE[0], " A", "s")], "doc_id bigint, text string, source string, severity string")
-    labels = spark.createDataFrame([(1, 1), (2, 0), (2, None), (9, 1), (None, 1)], "doc_id bigint, toxic int")
-    m = severity.train(docs, labels, "doc_id", "text", "toxic")
-    s = severity.score(docs, m, ["doc_id", "source"], "text")
-    assert sorted({r.doc_id for r in s.collect() if r.severity >= severity.THRESHOLD}) == [1]
-    assert {r.source: (r.docs, r.found) for r in severity.rates(s, F.col("source")).collect()} == {"a": (3, 2), "": (2, 0)}
-    assert severity.score(docs.limit(0), severity.train(docs, labels.limit(0), "doc_id", "text", "toxic"), ["doc_id"], "text").count() == 0
+    s = severity.score(docs, trained, ["doc_id", "source"], "text")
+    have = s.collect()
+    assert sorted({r.doc_id for r in have if r.severity >= severity.THRESHOLD}) == [1]
+    assert {(r.doc_id, r.severity) for r in have} == {(i, trained.document(t)[0]) for i, t, _, _ in docs.collect()}
+    assert {r.source: (r.docs, r.found, r.rate) for r in severity.rates(s, F.col("source")).collect()} == {"a": (3, 2, pytest.approx(2 / 3)), "": (2, 0, 0.0)}
+
+
+def test_training_reads_labels(spark):
+    rows = verdicts(400, 5)
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)] + [(9_999, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(v), None if i % 7 == 0 else 1 + i % 5) for i, (_, _, v) in enumerate(rows)] + [(9_999, 1, 1), (None, 1, 1), (3, None, 2), (77_777, 1, 1)], "doc_id bigint, toxic int, quality int")
+    m = severity.train(docs, labels, "doc_id", "text", "toxic", "quality")
+    assert len(m.w) > len(severity.LEAN) and severity.train(docs, labels.limit(0), "doc_id", "text", "toxic").w == severity.LEAN
+    assert severity.score(docs.limit(0), m, ["doc_id"], "text").count() == 0
