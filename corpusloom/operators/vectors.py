@@ -72,7 +72,7 @@ def embed(text: str, embedder: Callable[[list[str]], list], limit: int) -> np.nd
 
 def embedded(df: DataFrame, text: str, keep: list[str], embedder: Callable[[list[str]], list] | None = None, limit: int = 6_000) -> DataFrame:
     """``keep``, embedding, error. Blank and null texts, and texts the embedder fails on, have an error and no vector."""
-    small_batches(df.sparkSession, 1000)
+    small_batches(df.sparkSession)
     e = embedder or HashingEmbedder()
     src = df.select(*keep, F.col(text).alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "_text")

@@ -6,8 +6,9 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
@@ -36,9 +37,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most ``rows`` rows, so that long texts do not swell a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+BATCH = "500"  # rows of an Arrow batch
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of one small size for all plans of the engine, so that long texts do not swell a Python worker.
+
+    The option is read when a plan runs; as it is the same for all, no plan changes another's.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -93,15 +101,28 @@ def release() -> None:
 atexit.register(release)
 
 
-def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_rows: int = 200_000, salts: int = 32) -> DataFrame:
+BROADCAST_BYTES = 32_000_000  # a side of a join is broadcast up to this size
+
+
+def bytes_of(c: str, kind: T.DataType) -> Column:
+    """The bytes that a value takes, near enough."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(F.col(c)), F.lit(0)) + 8
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(F.col(c)))), F.lit(0)) + 8
+    return F.lit(8)
+
+
+def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_bytes: int = BROADCAST_BYTES, salts: int = 32) -> DataFrame:
     """Join ``big`` to a side that is usually small, safe for hot keys.
 
-    ``small`` is materialised and counted. Up to ``max_rows`` rows it is broadcast; beyond that both sides are
+    ``small`` is materialised and measured. Up to ``max_bytes`` it is broadcast; beyond that both sides are
     shuffled on the key and a salt, with the rows of ``small`` repeated once per salt, so that a hot key is
     spread over ``salts`` tasks. ``how`` is inner, left, left_semi or left_anti; null keys match nothing.
     """
     small = materialize(small, "lookup")
-    if small.count() <= max_rows:
+    size = sum((bytes_of(f.name, f.dataType) for f in small.schema), F.lit(16))
+    if (small.agg(F.sum(size)).first()[0] or 0) <= max_bytes:
         return big.join(F.broadcast(small), on, how)
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if not dict(big.dtypes)[c].startswith("map")]), F.lit(salts)).cast("int")
     spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
