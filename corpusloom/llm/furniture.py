@@ -66,7 +66,6 @@ _COUNTER = re.compile(r"\s*\(\d+\)$")
 _CRUMB = re.compile(r" [/›>»] ")
 _CRUMBS = (" / ", " › ", " > ", " » ")
 _PARTS = re.compile(r"[\s·|›»/•,]+")
-LONGEST = 600  # no wording of furniture is longer
 
 
 def bare(line: str) -> str:
@@ -103,7 +102,7 @@ def crumb_line(text: str) -> bool:
 def worded(line: str, text: str | None = None) -> bool:
     """The line's own wording makes it furniture; ``text`` is its plain form if that is known."""
     t = plain(line) if text is None else text
-    if not t or len(t) > LONGEST:
+    if not t:
         return False
     return bool(_LINE.match(t) or _LINE.match(t + ".") or TOC.match(t) or RELATED.match(t)) or menu_line(t) or crumb_line(t)
 

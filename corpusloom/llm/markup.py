@@ -231,7 +231,7 @@ def _weights(pages: DataFrame, row_id: str, text: str) -> dict[str, float]:
     src = pages.filter(F.length(text).between(1, 200_000)).select(F.xxhash64(row_id).alias("h"), F.col(text).alias("t"))  # longer ones are no sample material
     low = src.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
     rows = src.filter(F.col("h") <= low).orderBy("h", "t").limit(SAMPLE).collect() if low is not None else []
-    return fit_weights([r.t for r in rows], [set(furniture_lines(r.t.split("\n"), set(), True)) for r in rows]) if rows else dict(DEFAULT)
+    return fit_weights([r.t for r in rows], [set(furniture_lines(r.t.split("\n"), None, True)) for r in rows]) if rows else dict(DEFAULT)
 
 
 def convert(pages: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -239,7 +239,7 @@ def convert(pages: DataFrame, row_id: str, text: str) -> DataFrame:
 
     A null article gives null text and no kinds, an empty one an empty text. Repeated rows give equal rows.
     """
-    small_batches(pages.sparkSession, 500)
+    small_batches(pages.sparkSession)
     w = _weights(pages, row_id, text)
     src = pages.select(F.col(row_id).alias("row_id"), F.col(text).alias("_text"))
 

@@ -76,7 +76,7 @@ _CODE = re.compile(r"^\s*(?:[#$>] |(?:export|curl|sudo|mkdir|cp|mv|rm|cat|git|pi
 def message_line(line: str) -> bool:
     """A message, filler or a line with open slots: what stands in an article's place or in its text, never a link."""
     t = line.strip()
-    return bool(len(t) <= 300 and (_MESSAGE.match(t) or _FILL.match(t))) or (not _SIGNS.isdisjoint(t) and bool(_SLOT.search(t)))
+    return bool(_MESSAGE.match(t) or _FILL.match(t)) or (not _SIGNS.isdisjoint(t) and bool(_SLOT.search(t)))
 
 
 def latin(line: str) -> bool:
@@ -100,7 +100,7 @@ def judge(text: str | None) -> tuple[str, int, int, int]:
     said = [i for i, x in enumerate(lines) if i and _MESSAGE.match(x.strip())]
     if not (slots or filler or said):
         return "", 0, 0, 0
-    out = {n - 1 for n in furniture_lines(lines, set())}
+    out = {n - 1 for n in furniture_lines(lines)}
     slots, filler, said = ([i for i in x if i not in out] for x in (slots, filler, said))
     hit = {*slots, *filler, *said}
     prose = sum(1 for i, x in enumerate(lines) if i and i not in out and i not in hit and len(x) >= 50 and not _CODE.match(x))
@@ -113,7 +113,7 @@ def unfit_pages(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
     Rows are judged one by one, so repeated rows and ties have no bearing.
     """
-    small_batches(docs.sparkSession, 1000)
+    small_batches(docs.sparkSession)
     src = docs.select(*keep, F.col(text).alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "_text")
 

@@ -51,9 +51,54 @@ def test_wrapper_alignment():
     assert half.pages == 5 and half.stat[1][0] + half.stat[1][1] == 5
 
 
+NONSENSE = [f"{a}{b}" for a in ("zork", "quux", "blip", "glor", "snar", "frim", "wug", "tosk") for b in ("ant", "ible", "oon", "esk", "ury")]
+
+
+def strange_site(g, site, n):
+    """Pages of a site whose furniture has wordings that no list knows, and the numbers of its furniture lines."""
+    w = lambda k: " ".join(g.choice(NONSENSE) for _ in range(k)).capitalize()
+    menu, consent, foot = [w(2) + "." for _ in range(8)], [w(9) + "." for _ in range(3)], [w(4) + "." for _ in range(5)]  # no titles: runs of titles give nothing away
+    toc, more, by = w(3), w(3), w(1)
+    out = []
+    for i in range(n):
+        word = lambda: "".join(g.choice("bcdfghklmnprst") + g.choice("aeiou") for _ in range(3))
+        head = lambda: f"The {word()} of {word().capitalize()}"
+        prose = lambda: f"Every {word()} keeps {word()} entries for the {word()}, and {word()} says so at some length."
+        parts = [head() for _ in range(2)]
+        lines = [(head(), 0), *[(x, 1) for x in g.sample(menu, g.randint(4, 8))], (g.choice(consent), 1), (toc, 1), *[(x, 1) for x in parts], (prose(), 0)]
+        lines += [(f"{by}: {word().capitalize()} {word().capitalize()}", 1)] if i % 2 else []
+        for x in parts:
+            lines += [(x, 0), *[(prose(), 0) for _ in range(g.randint(1, 4))]]
+        lines += [(more, 1), *[(head(), 1) for _ in range(g.randint(2, 4))], *[(x, 1) for x in g.sample(foot, g.randint(2, 5))]]
+        out.append((f"https://{site}.test/{i}", "\n".join(x for x, _ in lines), {k for k, (_, f) in enumerate(lines, 1) if f}))
+    return out
+
+
+def test_wrapper_alone_on_unseen_wordings(spark, monkeypatch):
+    g = random.Random(8)
+    rows = [(i, *x) for i, x in enumerate([*strange_site(g, "big", 90), *strange_site(g, "small", 30)])]
+    want = {(i, n) for i, _, _, lines in rows for n in lines}
+    lists = {(i, n) for i, _, t, _ in rows for n, x in enumerate(t.split("\n"), 1) if wrappers.U.worded(x)}
+    assert not lists & want
+    alone = {(i, n) for i, _, t, _ in rows for n in wrappers.furniture_lines(t.split("\n"), None)}
+    monkeypatch.setattr(wrappers, "PART", 12)  # several parts a site, aligned with each other in more than one step
+    monkeypatch.setattr(wrappers, "FAN", 2)
+    df = spark.createDataFrame([(i, u, t) for i, u, t, _ in rows], "id int, url string, content string")
+    got = {tuple(r) for r in wrappers.furniture(df, "id", "content", "url", markup=False).collect()}
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.98 * len(got)
+    assert len(alone & want) < 0.6 * len(want)  # what a page tells by itself: lists of headings and links
+
+
+def test_masked_tokens():
+    m = wrappers.mask_token
+    assert m("Author: Ada Lovelace") == m("Author: Alan Turing") != 0
+    assert m("Ada Lovelace, 2021-02-03") == m("Alan Turing, 1999-12-31") != 0
+    assert m("Install Pridhas from the line") == m("Some words") == m("Version 1.2.3") == 0 and wrappers.token("a") & 1 == 0
+
+
 def test_markup_lines():
     page = '<article>\n<h1>A title</h1>\n<p>By Ada Lovelace</p>\n<p>Some text that goes on for a while.</p>\n<ul>\n<li><a href="/x">Edit this page</a></li>\n</ul>\n</article>'
-    assert wrappers.furniture_lines(page.split("\n"), set(), True) == [3, 6]
+    assert wrappers.furniture_lines(page.split("\n"), None, True) == [3, 6]
 
 
 # ---------------------------------------------------------------- markup
