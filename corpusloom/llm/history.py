@@ -1,17 +1,24 @@
 """Problem 4: checking a new batch against everything accepted before.
 
-The history is two bucketed tables in the shared folder: digests of whole normalised contents with their words,
-and hashes of paragraphs. A batch is shuffled to the buckets' layout; the history is
-read where it lies. Layout differs between copies, so a paragraph is not a span between line breaks but a
-passage of the normalised word stream, picked by its own hash: of every ``WINDOW`` neighbouring runs of
-``PASSAGE`` words the one with the least hash. Two texts that share any run of ``PASSAGE + WINDOW - 1`` words
-share such a passage.
+The history is a folder that outlives the session: a table of whole normalised contents by their digest, one of
+paragraph hashes with the contents that have them, one of how often each paragraph was accepted, all bucketed by
+their key, and a note of the parameters. A batch is shuffled to the buckets' layout; the history is read where it
+lies, and only appended to. Bucket-local semi-joins find full copies and how much of a content's paragraphs was
+accepted before; contents without any are new, the others are compared with the contents that share them.
+
+Layout differs between copies, so a paragraph is not a span between line breaks but a passage of the normalised
+word stream, picked by its own hash: of every ``WINDOW`` neighbouring runs of ``PASSAGE`` words the one with the
+least hash. Two texts that share any run of ``PASSAGE + WINDOW - 1`` words share such a passage. Texts whose common
+runs are all shorter have a similarity of at most 7/11 by three-word runs: r words in a row have r - 2 of them, and
+each break costs two on either side.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,7 +31,6 @@ from corpusloom.session import drop_table, materialize, shared_dir, small_batche
 PASSAGE, WINDOW = 6, 5
 SAMPLES = 128
 
-
 def passages(w: np.ndarray) -> np.ndarray:
     """Distinct hashes of the chosen passages of a word stream."""
     h = S.runs(w, PASSAGE)
@@ -34,112 +40,152 @@ def passages(w: np.ndarray) -> np.ndarray:
 
 
 def marked(texts: DataFrame, k: int) -> DataFrame:
-    """(cls, w) to (cls, p, s0..s3): one row per passage hash, with the text's parity bitmap."""
+    """(cls, w) to (cls, w, ps, s0..s3): a text's distinct passage hashes and its parity bitmap."""
     a, b = S.samplers(SAMPLES)
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             ps = [passages(w).view(np.int64) for w in p["w"]]
             sk = np.array([S.parity_sketch(S.min_samples(np.unique(S.runs(w, k)), a, b)) for w in p["w"]]).reshape(-1, S.SKETCH_WORDS)
-            yield pd.DataFrame({"cls": p["cls"], "ps": ps, **{c: sk[:, i] for i, c in enumerate(S.SKETCH_COLS)}})
+            yield pd.DataFrame({"cls": p["cls"], "w": p["w"], "ps": ps, **{c: sk[:, i] for i, c in enumerate(S.SKETCH_COLS)}})
+
+    return texts.mapInPandas(mark, "cls binary, w array<bigint>, ps array<bigint>, " + ", ".join(f"{c} bigint" for c in S.SKETCH_COLS))
+
 
-    out = texts.select("cls", "w").mapInPandas(mark, "cls binary, ps array<bigint>, " + ", ".join(f"{c} bigint" for c in S.SKETCH_COLS))
-    return out.select("cls", F.explode("ps").alias("p"), *S.SKETCH_COLS)
+@dataclass
+class Batch:
+    """A prepared batch: its rows (the kept columns, cls, w) and its distinct contents, marked."""
+
+    rows: DataFrame
+    texts: DataFrame
 
 
 class History:
-    """Accepted contents, as bucketed tables that grow by appends only."""
+    """Accepted contents, as bucketed tables in a folder that grow by appends only.
+
+    ``create`` starts one, ``open`` takes one up again, in any session that reaches the folder; the parameters are
+    those it was created with. A batch whose append broke off can be appended again: contents that are there are
+    not added twice.
+    """
 
-    def __init__(self, spark: SparkSession, k: int = 5, threshold: float = 0.8, min_words: int = 20, buckets: int = 24):
+    TABLES = {"texts": ("cls", "cls BINARY, w ARRAY<BIGINT>"), "passages": ("p", "p BIGINT, cls BINARY, " + ", ".join(f"{c} BIGINT" for c in S.SKETCH_COLS)), "counts": ("p", "p BIGINT, n BIGINT")}
+
+    def __init__(self, spark: SparkSession, path: str, k: int, threshold: float, min_words: int, buckets: int):
         small_batches(spark)
-        self.spark, self.k, self.threshold, self.min_words, self.buckets = spark, k, threshold, min_words, buckets
+        self.spark, self.path, self.k, self.threshold, self.min_words, self.buckets = spark, path.rstrip("/"), k, threshold, min_words, buckets
         self.tag = uuid.uuid4().hex[:12]
-        self.root = f"{shared_dir(spark)}/corpusloom/history-{self.tag}"
-        self.empty = True
+        for what, (key, columns) in self.TABLES.items():
+            spark.sql(f"CREATE TABLE {self._name(what)} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{self.path}/{what}'")
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, k: int = 5, threshold: float = 0.8, min_words: int = 20, buckets: int = 24) -> History:
+        note = json.dumps({"k": k, "threshold": threshold, "min_words": min_words, "buckets": buckets})
+        where, fs = _file(spark, f"{path.rstrip('/')}/history.json")
+        if fs.exists(where):
+            raise ValueError(f"there is a history in {path}; open it")
+        out = fs.create(where, False)
+        out.write(note.encode())
+        out.close()
+        return cls.open(spark, path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> History:
+        rows = spark.read.text(f"{path.rstrip('/')}/history.json", wholetext=True).collect()  # one small file
+        return cls(spark, path, **json.loads(rows[0][0]))
 
     def _name(self, what: str) -> str:
         return f"history_{what}_{self.tag}"
 
-    def _add(self, df: DataFrame, what: str, key: str) -> None:
-        w = df.repartition(self.buckets, key).write.mode("append").format("parquet").bucketBy(self.buckets, key).sortBy(key)
-        w.option("path", f"{self.root}/{what}").saveAsTable(self._name(what))
+    def _add(self, df: DataFrame, what: str) -> None:
+        key = self.TABLES[what][0]
+        df.repartition(self.buckets, key).write.mode("append").format("parquet").bucketBy(self.buckets, key).sortBy(key).option("path", f"{self.path}/{what}").saveAsTable(self._name(what))
 
     def _read(self, what: str) -> DataFrame:
         return self.spark.table(self._name(what))
 
-    def prepare(self, batch: DataFrame, text: str, keep: list[str]) -> DataFrame:
-        """The batch's rows as ``keep`` columns, cls and w; null, empty and short contents have no row."""
-        return materialize(S.text_classes(batch, text, keep, self.min_words), "batch")
+    def prepare(self, batch: DataFrame, text: str, keep: list[str]) -> Batch:
+        """The batch's rows and contents; null, empty and short contents have none."""
+        rows = materialize(S.text_classes(batch, text, keep, self.min_words), "batch")
+        return Batch(rows, materialize(marked(S.representatives(rows), self.k), "marked"))
 
-    def check(self, prepared: DataFrame) -> DataFrame:
-        """The distinct cls of a prepared batch that repeat accepted content: cls, kind.
+    def check(self, batch: Batch) -> DataFrame:
+        """The distinct contents of a batch that repeat accepted ones: cls, kind, coverage.
 
         ``kind`` is ``copy`` for a full copy and ``near`` for a content whose similarity to an accepted one is at
-        least the threshold. Rows of the batch are not compared with each other.
+        least the threshold; ``coverage`` is the share of its paragraphs that some accepted content has, 1 for a
+        copy. Rows of the batch are not compared with each other.
         """
-        if self.empty:
-            return prepared.select("cls", F.lit("copy").alias("kind")).limit(0)
-        texts = S.representatives(prepared)
-        full = self._read("texts").select("cls")
-        copies = texts.select("cls").join(full, "cls", "left_semi")
-        fresh = materialize(texts.join(full, "cls", "left_anti"), "fresh")
-        mine = materialize(marked(fresh, self.k), "passages")
-        theirs = self._read("passages")
+        known = self._read("texts").select("cls")
+        copies = batch.texts.select("cls").join(known, "cls", "left_semi")
+        fresh = batch.texts.join(known, "cls", "left_anti")
+        mine = fresh.select("cls", F.size("ps").alias("of"), F.explode("ps").alias("p"), *S.SKETCH_COLS)
+        seen = mine.join(self._read("counts"), "p").groupBy("cls", "p", "of", *S.SKETCH_COLS).agg(F.sum("n").alias("n"))
+        seen = materialize(seen, "seen")  # paragraphs of the batch that were accepted before
+        covered = seen.groupBy("cls", "of").agg(F.count("*").alias("c")).select("cls", (F.col("c") / F.col("of")).alias("coverage"))
         near = S.differing_bits("l", "r") <= S.most_bits(self.threshold, SAMPLES)
-        hot = materialize(theirs.groupBy("p").agg(F.count("*").alias("n")).filter(F.col("n") > S.HOT).select("p"), "hot")
-        none_hot = hot.isEmpty()
-        usual = mine if none_hot else mine.join(hot, "p", "left_anti")
+        theirs = self._read("passages")
+        usual = seen.filter(F.col("n") <= S.HOT)
         pairs = usual.alias("l").join(theirs.alias("r"), (F.col("l.p") == F.col("r.p")) & near).select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"), S.differing_bits("l", "r").alias("bits"))
-        found = self._settle(fresh, pairs)
-        if not none_hot:  # contents not settled by their rarer passages: through the frequent ones, spread over tasks
-            rest = mine.join(hot, "p", "left_semi").join(found, "cls", "left_anti")
-            pairs = S.filtered_join(rest, theirs.join(hot, "p", "left_semi"), "p", near).withColumn("bits", F.lit(0))
-            found = found.union(self._settle(fresh, pairs))
-        return copies.withColumn("kind", F.lit("copy")).union(found.withColumn("kind", F.lit("near")))
-
-    def _settle(self, fresh: DataFrame, pairs: DataFrame) -> DataFrame:
+        found = self._settle(batch.texts, pairs)
+        hot = seen.filter(F.col("n") > S.HOT)
+        if not hot.isEmpty():  # contents not settled by their rarer passages: through the frequent ones, spread over tasks
+            rest = hot.join(found, "cls", "left_anti")
+            often = theirs.join(hot.select("p").distinct(), "p", "left_semi")
+            found = found.union(self._settle(batch.texts, S.filtered_join(rest, often, "p", near).withColumn("bits", F.lit(0))))
+        near_rows = found.join(covered, "cls").select("cls", F.lit("near").alias("kind"), "coverage")
+        return copies.select("cls", F.lit("copy").alias("kind"), F.lit(1.0).alias("coverage")).union(near_rows)
+
+    def _settle(self, mine: DataFrame, pairs: DataFrame) -> DataFrame:
         """Contents with a partner that is truly similar: the most promising partner first, all others for the rest."""
         pairs = materialize(pairs.groupBy("a", "b").agg(F.min("bits").alias("bits")), "pairs")
         best = pairs.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
         texts = self._read("texts")
-        good = lambda p: S.with_similarity(p, fresh, texts, self.k).filter(F.col("similarity") >= self.threshold).select(F.col("a").alias("cls")).distinct()
+        good = lambda p: S.with_similarity(p, mine, texts, self.k).filter(F.col("similarity") >= self.threshold).select(F.col("a").alias("cls")).distinct()
         sure = materialize(good(best), "sure")
         rest = pairs.join(sure.select(F.col("cls").alias("a")), "a", "left_anti").join(best, ["a", "b"], "left_anti").select("a", "b")
         return materialize(sure.union(good(rest)), "settled")
 
-    def append(self, prepared: DataFrame) -> None:
-        """Accept a prepared batch: adds what is new to the tables, never rewriting what is there."""
-        texts = S.representatives(prepared)
-        if not self.empty:
-            texts = texts.join(self._read("texts").select("cls"), "cls", "left_anti")
-        texts = materialize(texts, "accepted")
-        self._add(marked(texts, self.k), "passages", "p")
-        self._add(texts, "texts", "cls")
-        self.empty = False
-
-    def close(self) -> None:
-        """Forget the history and remove its files."""
-        for what in ("passages", "texts"):
+    def append(self, batch: Batch) -> None:
+        """Accept a batch: adds what is new to the tables, never rewriting what is there. Contents go in last."""
+        new = batch.texts.join(self._read("texts").select("cls"), "cls", "left_anti")
+        spread = new.select(F.explode("ps").alias("p"), "cls", *S.SKETCH_COLS)
+        self._add(spread, "passages")
+        self._add(spread.groupBy("p").agg(F.count("*").alias("n")), "counts")
+        self._add(new.select("cls", "w"), "texts")
+
+    def close(self, remove: bool = False) -> None:
+        """Let go of the history; its folder stays unless ``remove`` is set."""
+        for what in self.TABLES:
             self.spark.sql(f"DROP TABLE IF EXISTS {self._name(what)}")
-        drop_table(self.spark, self.root)
+        if remove:
+            drop_table(self.spark, self.path)
+
+
+def _file(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def repeats(docs: DataFrame, text: str, keys: list[str], batch: str, **params) -> DataFrame:
+def repeats(docs: DataFrame, text: str, keys: list[str], batch: str, history: str | None = None, **params) -> DataFrame:
     """Rows (``keys`` and ``batch``) whose content repeats that of some smaller batch, batch after batch.
 
-    Null batches are never compared. Repeated rows give one row. Columns other than the named are not read.
+    Null batches are never compared. Repeated rows give one row. Columns other than the named are not read. With a
+    folder ``history`` the batches are also checked against what it holds, and added to it.
     """
     spark = docs.sparkSession
-    h = History(spark, **params)
+    path = history or f"{shared_dir(spark)}/corpusloom/history-{uuid.uuid4().hex[:12]}"
+    note, fs = _file(spark, f"{path}/history.json")
+    old = fs.exists(note)
+    h = History.open(spark, path) if old else History.create(spark, path, **params)
     numbers = [r[0] for r in docs.select(batch).filter(F.col(batch).isNotNull()).distinct().orderBy(batch).collect()]  # one row per delivery
     out = None
     for n in numbers:
-        rows = h.prepare(docs.filter(F.col(batch) == n), text, [*keys, batch])
-        if not h.empty:
-            hit = rows.join(h.check(rows).select("cls"), "cls", "left_semi").select(*keys, batch).distinct()
+        b = h.prepare(docs.filter(F.col(batch) == n), text, [*keys, batch])
+        if old or n != numbers[0]:
+            hit = b.rows.join(h.check(b).select("cls"), "cls", "left_semi").select(*keys, batch).distinct()
             hit = materialize(hit, "repeats")
             out = hit if out is None else out.union(hit)
-        if n != numbers[-1]:
-            h.append(rows)
-    h.close()  # what was found is written
+        if history is not None or n != numbers[-1]:
+            h.append(b)
+    h.close(remove=history is None)  # what was found is written
     return out if out is not None else docs.select(*keys, batch).limit(0)

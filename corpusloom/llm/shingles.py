@@ -79,7 +79,7 @@ def parity_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
-def most_bits(threshold: float, samples: int, slack: float = 3.5) -> int:
+def most_bits(threshold: float, samples: int, slack: float = 5.0) -> int:
     """The largest XOR population count that a pair at ``threshold`` reaches, up to ``slack`` standard deviations.
 
     ``n/2 (1 - e^(-4k(1-J)/n))`` bits differ for similarity J, k samples and n bits; the deviation of J is that
@@ -108,7 +108,7 @@ def filtered_join(left: DataFrame, right: DataFrame, key: str, within: Column, e
     rows are repeated for every salt, so that one task compares at most about ``HOT`` times the right rows.
     """
     hot = right.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT)
-    hot = materialize(hot.withColumn("_salts", F.least(F.ceil(F.col("_n") / HOT), F.lit(1024)).cast("int")).drop("_n"), "hot")
+    hot = materialize(hot.withColumn("_salts", F.ceil(F.col("_n") / HOT).cast("int")).drop("_n"), "hot")
     cond = within if extra is None else within & extra
     if hot.isEmpty():
         return left.alias("l").join(right.alias("r"), (F.col(f"l.{key}") == F.col(f"r.{key}")) & cond).select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"))

@@ -110,6 +110,48 @@ def test_repeats_of_nothing(spark, docs):
     assert history.repeats(docs.filter("batch = 0"), "content", ["doc_id"], "batch").count() == 0
 
 
+def test_history_is_taken_up_again(spark, docs, tmp_path):
+    """A folder filled in one go and one filled by three openings, the last by another process, say the same."""
+    import subprocess
+    import sys
+
+    path, rows = str(tmp_path / "history"), corpus()
+    got = set()
+    for b in (0, 1, 2):
+        got |= {tuple(r) for r in history.repeats(docs.filter(F.col("batch") == b), "content", ["doc_id"], "batch", history=path, k=3, threshold=0.7).collect()}
+    docs.filter("batch = 3").select("doc_id", "content", "batch").write.parquet(str(tmp_path / "late"))
+    code = f"""
+from corpusloom.llm import history
+from corpusloom.session import get_session
+s = get_session("other", "local[2]", **{{"spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false", "spark.sql.warehouse.dir": {str(tmp_path / 'wh')!r}}})
+h = history.History.open(s, {path!r})
+b = h.prepare(s.read.parquet({str(tmp_path / 'late')!r}), "content", ["doc_id", "batch"])
+n = h._read("texts").count()
+h.check(b).join(b.rows, "cls").select("doc_id", "batch", "kind", "coverage").distinct().write.json({str(tmp_path / 'out')!r})
+h.append(b); m = h._read("texts").count(); h.append(b)
+assert n < m == h._read("texts").count()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300)
+    out = spark.read.json(str(tmp_path / "out")).collect()
+    assert got | {(r.doc_id, r.batch) for r in out} == brute_repeats(rows)
+    assert all(0 < r.coverage <= 1 and (r.kind != "copy" or r.coverage == 1) for r in out)
+    with pytest.raises(ValueError):
+        history.History.create(spark, path)
+
+
+def test_spread_edits_are_found(spark):
+    """Edits as evenly spread as the similarity allows: none of the pairs is lost."""
+    g, rows = random.Random(6), []
+    for i in range(150):
+        base = [g.choice(WORDS) + str(i) for _ in range(g.randint(60, 200))]
+        step, kind = g.randint(10, 24), i % 3
+        late = [x for n, w in enumerate(base) for x in (([f"x{n}"] if kind == 0 else [w, f"x{n}"] if kind == 1 else []) if n % step == step - 1 else [w])]
+        rows += [(f"a{i}", " ".join(base), 0), (f"b{i}", " ".join(late), 1)]
+    df = spark.createDataFrame(rows, "doc_id string, content string, batch int")
+    want = brute_repeats(rows)
+    assert len(want) > 60 and {tuple(r) for r in history.repeats(df, "content", ["doc_id"], "batch", k=3, threshold=0.7).collect()} == want
+
+
 def test_passages_are_shared():
     import numpy as np
 
@@ -162,7 +204,16 @@ def test_split_boundaries(spark):
     assert cut("x" * 25, 10) == ["x" * 10, "x" * 10, "x" * 5]
     assert parts(spark, None, 10, 2) == [] and parts(spark, "", 10, 2) == []
     with pytest.raises(ValueError):
-        split.pieces(F.col("t"), 10, 5)
+        split.pieces(F.col("t"), 10, 10)
+
+
+@pytest.mark.parametrize("size, overlap", [(2, 1), (10, 5), (10, 9), (30, 20), (64, 63)])
+def test_split_with_any_overlap(spark, size, overlap):
+    text = "Ab cd. Éf gh!\n\nij 😀 kl mn\nop " * 9
+    p = parts(spark, text, size, overlap)
+    assert all(len(t) <= size and text[s : s + len(t)] == t for s, t in p)
+    ends = [s + len(t) for s, t in p]
+    assert p[0][0] == 0 and ends[-1] == len(text) and all(s == max(0, e - overlap) for (s, _), e in zip(p[1:], ends))
 
 
 # ---------------------------------------------------------------- lines of a site
