@@ -32,7 +32,7 @@ def p1_main_body(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_text(spark: SparkSession, d: str) -> DataFrame:
-    return markup.convert(table(spark, d, "pages"), "page_id", "article_html").withColumnRenamed("row_id", "page_id")
+    return markup.convert(table(spark, d, "pages"), "page_id", "article_html", "url").withColumnRenamed("row_id", "page_id")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

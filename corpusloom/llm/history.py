@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -128,7 +129,9 @@ class History:
         pairs = usual.alias("l").join(theirs.alias("r"), (F.col("l.p") == F.col("r.p")) & near).select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"), S.differing_bits("l", "r").alias("bits"))
         found = self._settle(batch.texts, pairs)
         hot = seen.filter(F.col("n") > S.HOT)
-        if not hot.isEmpty():  # contents not settled by their rarer passages: through the frequent ones, spread over tasks
+        if not hot.isEmpty():
+            # contents not settled by their rarer passages: through the frequent ones, spread over tasks
+            found = materialize(found, "found")
             rest = hot.join(found, "cls", "left_anti")
             often = theirs.join(hot.select("p").distinct(), "p", "left_semi")
             found = found.union(self._settle(batch.texts, S.filtered_join(rest, often, "p", near).withColumn("bits", F.lit(0))))
@@ -143,14 +146,14 @@ class History:
         good = lambda p: S.with_similarity(p, mine, texts, self.k).filter(F.col("similarity") >= self.threshold).select(F.col("a").alias("cls")).distinct()
         sure = materialize(good(best), "sure")
         rest = pairs.join(sure.select(F.col("cls").alias("a")), "a", "left_anti").join(best, ["a", "b"], "left_anti").select("a", "b")
-        return materialize(sure.union(good(rest)), "settled")
+        return sure.union(good(rest))
 
     def append(self, batch: Batch) -> None:
         """Accept a batch: adds what is new to the tables, never rewriting what is there. Contents go in last."""
         new = batch.texts.join(self._read("texts").select("cls"), "cls", "left_anti")
         spread = new.select(F.explode("ps").alias("p"), "cls", *S.SKETCH_COLS)
-        self._add(spread, "passages")
-        self._add(spread.groupBy("p").agg(F.count("*").alias("n")), "counts")
+        with ThreadPoolExecutor(2) as side:  # two jobs at once
+            list(side.map(lambda x: self._add(*x), [(spread, "passages"), (spread.groupBy("p").agg(F.count("*").alias("n")), "counts")]))
         self._add(new.select("cls", "w"), "texts")
 
     def close(self, remove: bool = False) -> None:

@@ -1,8 +1,9 @@
 """Problem 2: clean text from articles with markup of several kinds, and what markup was left unrendered.
 
-The content region of an article is its maximum-scoring contiguous run of tokens: words score by how much more
-often they stand in main bodies than outside, tags by their kind, with weights (log odds) from labelled pages.
-One linear scan finds it. Text is converted inside that region, and residue is sought there.
+The content region of an article is its maximum-scoring contiguous run of tokens: each word scores by how much more
+often it stands in main bodies than outside, in headings for itself, tags by their kind and never above zero, with
+weights (log odds) from labelled pages. One linear scan finds it. Lines inside whose words score clearly against them
+are left out; text is converted, and residue sought, in the rest.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import small_batches
+from corpusloom.session import materialize, small_batches
 
-SAMPLE = 1_500  # labelled pages that the weights are fitted on, at most
+SAMPLE, SAMPLE_CHARS = 1_500, 20_000_000  # labelled pages that the weights are fitted on, at most, and their characters
 
 _TOKEN = re.compile(r"<!--.*?-->|</?([A-Za-z][A-Za-z0-9]*)\b[^<>]*>|[^\s<]+|<", re.S)
 _BLOCKS = "p div h1 h2 h3 h4 h5 h6 ul ol li table tr pre blockquote article main section header footer nav aside figure hr br dl dt dd body html".split()
@@ -28,40 +29,68 @@ _BLOCKS = "p div h1 h2 h3 h4 h5 h6 ul ol li table tr pre blockquote article main
 
 
 def tokens(source: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end): kind is ``word`` or the tag's name, ``/a`` for an end tag, ``!`` for a comment."""
-    out = []
+    """(kind, start, end): a word's kind is its lower-cased letters, ``#`` if it has none, ``h`` before them in a heading,
+    and ``c `` for any word of a code sample; a tag's is ``<`` or ``</`` and its name, a comment's ``!``. Headings are those of tags and of ``#`` and ``=`` marks."""
+    out, tag, mark, code, last = [], False, False, False, 0
     for m in _TOKEN.finditer(source):
         t = m.group()
-        kind = "!" if t.startswith("<!--") else ("/" if t.startswith("</") else "") + m.group(1).lower() if m.group(1) else "word"
-        out.append((kind, m.start(), m.end()))
+        fresh = source.find("\n", last, m.start()) >= 0 or not out or out[-1][0][:1] == "<"
+        last = m.end()
+        if t.startswith("<!--"):
+            out.append(("!", m.start(), m.end()))
+        elif m.group(1):
+            name, end = m.group(1).lower(), t.startswith("</")
+            if re.fullmatch("h[1-6]", name):
+                tag = not end
+            elif name == "pre":
+                code = not end
+            mark = mark and not end
+            out.append((("</" if end else "<") + name, m.start(), m.end()))
+        else:
+            mark = bool(_MARK.fullmatch(t)) if fresh else mark
+            out.append(("c ", m.start(), m.end()) if code else (("h " if tag or mark else "") + ("".join(filter(str.isalpha, t.lower())) or "#"), m.start(), m.end()))
     return out
 
 
-DEFAULT = {"word": 1.0, "a": -6.0, "/a": -6.0, "nav": -40.0, "/nav": -40.0, "": -0.5}
+_MARK = re.compile("#{1,6}|={2,6}")
+DEFAULT = {"": 1.5, "h": 5.0, "<": -0.2, "<a": -3.0, "</a": -3.0, "<nav": -3.0, "</nav": -3.0}
+LEAN = 1.5  # what a word scores besides its log odds: the region has room for neutral words
+CLIP, HEADING = 3.0, 8.0  # no word weighs more than this, and none in a heading more than that
+DOUBT, MEAN = -4.0, -0.8  # a line inside the region whose words score less than this, in sum and on average, is no part of it
 
 
 def fit_weights(pages: list[str], boilerplate: list[set[int]]) -> dict[str, float]:
-    """Log odds of each token kind inside against outside the main body; lines are labelled by their numbers.
+    """Log odds of each word and tag inside against outside the main body; lines are labelled by their numbers.
 
-    Tags never score above zero, nor words below one; a kind too rare to tell scores half a point off.
+    Tags never score above zero. ``''`` stands for words, ``h`` for words of headings and ``<`` for tags too rare to tell.
     """
     inside, outside = Counter(), Counter()
     for source, out in zip(pages, boilerplate):
         for n, line in enumerate(source.split("\n"), 1):
-            (outside if n in out else inside).update(k for k, _, _ in tokens(line))
-    a, b = sum(inside.values()) + 1, sum(outside.values()) + 1
-    w = {k: math.log((inside[k] + 1) / a) - math.log((outside[k] + 1) / b) for k in {*inside, *outside} if inside[k] + outside[k] >= 20}
-    return {**{k: min(0.0, v) for k, v in w.items()}, "word": max(1.0, w.get("word", 1.0)), "": -0.5}
+            for k, _, _ in tokens(line):
+                (outside if n in out else inside).update((k, "<") if k[0] == "<" else (k, "h") if k[:2] == "h " else (k, ""))
+    a, b = sum(n for k, n in inside.items() if k not in ("", "h", "<")) + 1, sum(n for k, n in outside.items() if k not in ("", "h", "<")) + 1
+    w = {"": 0.0, "h": 0.0, "<": -0.2}
+    for k in {*inside, *outside}:
+        if inside[k] + outside[k] >= 5 and k != "c ":
+            v = math.log((inside[k] + 0.5) / a) - math.log((outside[k] + 0.5) / b)
+            w[k] = max(-CLIP, min(0.0, v)) if k[:1] == "<" else min(HEADING if k == "h" or k[:2] == "h " else CLIP, v)
+    return {k: v if k[:1] in ("<", "!") else v + LEAN for k, v in w.items()}
+
+
+def scores(ts: list[tuple[str, int, int]], weights: dict[str, float]) -> list[float]:
+    rare = {"<": weights.get("<", -0.2), "h": weights.get("h", 1.0), "": weights.get("", 1.0)}
+    return [max(-CLIP, weights[k]) if k in weights else rare["<"] if k[0] in "<!" else rare["h"] if k[:2] == "h " else rare[""] for k, _, _ in ts]
 
 
 def region(source: str, weights: dict[str, float]) -> tuple[int, int]:
     """Start and end of the best-scoring run of tokens, the longest one of equals; the whole text if it has no tags."""
     ts = tokens(source)
-    if all(k == "word" for k, _, _ in ts):
+    if all(k[0] != "<" for k, _, _ in ts):
         return 0, len(source)
     best, total, start, got = 0.0, 0.0, 0, (0, len(source))
-    for i, (k, _, e) in enumerate(ts):
-        total += weights.get(k, weights[""])
+    for i, (v, (_, _, e)) in enumerate(zip(scores(ts, weights), ts)):
+        total += v
         if total >= best:
             best, got = total, (ts[start][1], e)
         if total < 0:
@@ -75,6 +104,27 @@ def region(source: str, weights: dict[str, float]) -> tuple[int, int]:
     return a, b
 
 
+def content(source: str, weights: dict[str, float]) -> str:
+    """The content region, from the article's first heading on, without the lines in it whose words speak against them."""
+    a, b = region(source, weights)
+    if (m := re.search(r"<h1\b", source, re.I)) and m.start() < a:
+        a = m.start()
+    if all(k[0] != "<" for k, _, _ in tokens(source[a:b])):
+        return source[a:b]
+    whole = [(m.start(), m.end()) for m in _DROP.finditer(source)]
+    out, at, n = [], a, 0
+    for line in source[a:b].split("\n"):
+        while n < len(whole) and whole[n][1] <= at:
+            n += 1
+        code = n < len(whole) and whole[n][0] < at + len(line) and at < whole[n][1]
+        words = [] if code else [k for k, _, _ in tokens(line) if k[0] not in "<!"]
+        against = [max(-2 * CLIP, weights[k] - LEAN) for k in words if k in weights]
+        if sum(against) >= min(DOUBT, MEAN * len(words)) or _PIECE.search(line):
+            out.append(line)
+        at += len(line) + 1
+    return "\n".join(out)
+
+
 # ---------------------------------------------------------------- residue
 
 HTML_TAGS = "p div span strong em b i u s a li ul ol dl dt dd br hr h1 h2 h3 h4 h5 h6 table thead tbody tr td th img code pre kbd samp blockquote script style sup sub small section article header footer nav aside main figure figcaption font center del ins mark iframe button input form label video audio source summary details".split()
@@ -83,7 +133,7 @@ WIKI_TAGS = "ref references nowiki gallery syntaxhighlight includeonly noinclude
 _MATH = r"\$\$[^$]+\$\$|(?<![\\$\w])\$(?=\S)[^$\n]*[\\^_={}][^$\n]*\$|(?<![\\$\w])\$[A-Za-z]\$|\\\([^\n]+?\\\)|\\\[.+?\\\]"
 _LATEX = re.compile(
     r"\\(?:begin|end|part|chapter|(?:sub)*section|paragraph|textbf|textit|texttt|textsc|emph|underline|cite[tp]?|ref|eqref|pageref|label|footnote|caption|url|href|includegraphics|frac|sqrt|mathbb|mathrm|mathbf|text|usepackage|documentclass|input|title|author)\*?(?:\[[^\]\n]*\])?\{"
-    r"|\\(?:item|hline|maketitle|noindent|ldots|par|centering|newline|newpage|toprule|midrule|bottomrule|tableofcontents)\b(?![\\/])|" + _MATH,
+    r"|\{\\(?:em|bf|it|tt|sc|sl|rm|sf|small|large)\b|\\(?:item|hline|maketitle|noindent|ldots|par|centering|newline|newpage|toprule|midrule|bottomrule|tableofcontents)\b(?![\\/])|" + _MATH,
     re.S,
 )
 _WIKI = re.compile(
@@ -96,7 +146,8 @@ _MARKDOWN = re.compile(
     re.M,
 )
 _STAR = re.compile(r"^\s{0,3}\* (?!\[\[|'')\S", re.M)
-_ESCAPED = re.compile(r"(?:<|&(?:amp;)*lt;|\\u003c)/?(" + "|".join(sorted(HTML_TAGS, key=len, reverse=True)) + r")(?:\s[^<>\n]*?)?\s*/?(?:>|&(?:amp;)*gt;|\\u003e)|(?:<|&(?:amp;)*lt;)!--", re.I)
+_LT, _GT = r"(?:<|&(?:amp;)*(?:lt|#0*60|#x0*3c);|\\u003c)", r"(?:>|&(?:amp;)*(?:gt|#0*62|#x0*3e);|\\u003e)"
+_ESCAPED = re.compile(_LT + "/?(" + "|".join(sorted(HTML_TAGS, key=len, reverse=True)) + r")(?:\s[^<>\n]*?)?\s*/?" + _GT + f"|{_LT}!--", re.I)
 _WIKITAG = re.compile(r"</?(?:" + "|".join(WIKI_TAGS) + r")\b[^<>]*>", re.I)
 _FENCE = re.compile(r"^\s{0,3}(`{3,}|~{3,})[^\n`]*\n.*?(?:^\s{0,3}\1[`~]*\s*$|\Z)", re.M | re.S)
 _VERBATIM = re.compile(r"\\begin\{(verbatim|lstlisting|minted|alltt)\*?\}.*?(?:\\end\{\1\*?\}|\Z)", re.S)
@@ -105,6 +156,7 @@ _LITERAL = re.compile(r"<(nowiki)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _RAWPRE = re.compile(r"(?:<|\\u003c)(pre|code)\b[^<>]*?(?:>|\\u003e).*?(?:(?:<|\\u003c)/\1(?:>|\\u003e)|\Z)", re.S | re.I)
 
 _DROP = re.compile(r"<!--.*?-->|<(pre|code|script|style|math|svg|kbd|samp|template)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_PIECE = re.compile(r"</?(?:table|tr|t[dh]|ul|ol|pre|math)\b", re.I)  # lines that others need
 _BLOCK_TAG = re.compile(r"</?(?:" + "|".join(_BLOCKS) + r")\b[^<>]*>", re.I)
 _ANY_TAG = re.compile(r"</?(?:" + "|".join([*HTML_TAGS, "article", "main", "section", "body", "html", "head", "title", "svg", "math", "link", "meta", "abbr", "time", "cite", "q", "var", "wbr", "picture", "colgroup", "col", "tfoot", "caption"]) + r")\b[^<>]*>|<!DOCTYPE[^>]*>", re.I)
 
@@ -224,23 +276,37 @@ def plain_text(source: str) -> str:
 _TAGS = re.compile(r"<[^<>]+>")
 
 
-def _weights(pages: DataFrame, row_id: str, text: str) -> dict[str, float]:
-    """Weights from a bounded sample of pages whose lines the furniture wordings label."""
-    from corpusloom.llm.wrappers import furniture_lines
-
-    src = pages.filter(F.length(text).between(1, 200_000)).select(F.xxhash64(row_id).alias("h"), F.col(text).alias("t"))  # longer ones are no sample material
-    low = src.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
-    rows = src.filter(F.col("h") <= low).orderBy("h", "t").limit(SAMPLE).collect() if low is not None else []
-    return fit_weights([r.t for r in rows], [set(furniture_lines(r.t.split("\n"), None, True)) for r in rows]) if rows else dict(DEFAULT)
+def _weights(pages: DataFrame, row_id: str, text: str, url: str | None) -> dict[str, float]:
+    """Weights from a bounded sample of pages, labelled by the wrappers that problem 1 infers for their sites.
 
-
-def convert(pages: DataFrame, row_id: str, text: str) -> DataFrame:
+    The sample is the first pages by the hash of their id, up to ``SAMPLE`` pages and ``SAMPLE_CHARS`` characters.
+    """
+    from corpusloom.llm.wrappers import furniture
+
+    src = pages.filter(F.length(text) > 0).select(F.col(row_id).alias("id"), F.xxhash64(row_id).alias("h"), F.length(text).alias("n"), F.col(text).alias("t"), (F.col(url) if url else F.lit(None).cast("string")).alias("u"))
+    first = src.select("h", "id", "n").orderBy("h", "n").limit(SAMPLE).collect()  # at most SAMPLE rows of numbers
+    if not first:
+        return dict(DEFAULT)
+    total, last = 0, first[0]["h"]
+    for r in first:
+        total += r["n"]
+        if total > SAMPLE_CHARS and r["h"] != last:
+            break
+        last = r["h"]
+    few = materialize(src.filter(F.col("h") <= last), "sample")
+    lines = furniture(few.withColumn("r", F.xxhash64("h", "t")), "r", "t", "u", markup=True).groupBy("row_id").agg(F.collect_set("line_no").alias("out"))  # lines of one page
+    rows = few.withColumn("row_id", F.xxhash64("h", "t")).join(lines, "row_id", "left").orderBy("h", "t").select("t", "out").collect()  # the sample
+    return fit_weights([r.t for r in rows], [set(r.out or ()) for r in rows])
+
+
+def convert(pages: DataFrame, row_id: str, text: str, url: str | None = None) -> DataFrame:
     """row_id, text (clean) and markup (sorted kinds of residue) of every article.
 
+    ``url`` names the column whose hosts are the sites that the labelling of the sample goes by.
     A null article gives null text and no kinds, an empty one an empty text. Repeated rows give equal rows.
     """
     small_batches(pages.sparkSession)
-    w = _weights(pages, row_id, text)
+    w = _weights(pages, row_id, text, url)
     src = pages.select(F.col(row_id).alias("row_id"), F.col(text).alias("_text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -251,9 +317,9 @@ def convert(pages: DataFrame, row_id: str, text: str) -> DataFrame:
                     clean.append(None)
                     kinds.append([])
                     continue
-                a, b = region(t, w)
-                clean.append(plain_text(t[a:b]))
-                kinds.append(sorted(residue(t[a:b])))
+                t = content(t, w)
+                clean.append(plain_text(t))
+                kinds.append(sorted(residue(t)))
             yield pd.DataFrame({"row_id": p["row_id"], "text": clean, "markup": kinds})
 
     return src.mapInPandas(run, f"row_id {src.schema['row_id'].dataType.simpleString()}, text string, markup array<string>")

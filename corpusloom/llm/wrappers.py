@@ -258,6 +258,19 @@ def aligned(rows: list[int], tok: dict[int, int], wrapper: Wrapper) -> set[int]:
     return out
 
 
+def code_rows(lines: list[str]) -> set[int]:
+    """Rows inside code samples, which are the article's."""
+    out, inside = set(), False
+    for i, x in enumerate(lines):
+        low = x.lower()
+        opens, ends = low.rfind("<pre"), low.rfind("</pre")
+        if inside or opens >= 0:
+            out.add(i)
+        if opens >= 0 or ends >= 0:
+            inside = opens > ends
+    return out
+
+
 def furniture_lines(lines: list[str], wrapper: Wrapper | None = None, markup: bool = False, words: bool = True) -> list[int]:
     """Numbers, from 1, of a page's lines that are not part of its main body.
 
@@ -275,6 +288,7 @@ def furniture_lines(lines: list[str], wrapper: Wrapper | None = None, markup: bo
     said = {i for i in rows if message_line(text[i])}
     own = said | {i for i in rows if U.heading(text[i], plain[i])}  # the article's, however often a site has it
     final = {key[i]: i for i in rows}
+    sample = code_rows(lines) if markup else set()
     head = {i for i in rows if markup and _HEAD.match(lines[i])}
     out: set[int] = set()
     # ---- the template
@@ -283,11 +297,11 @@ def furniture_lines(lines: list[str], wrapper: Wrapper | None = None, markup: bo
         for i in rows:
             t = mask_token(text[i])
             tok[i] = t if t in wrapper.template else token(text[i])
-            if i in own or key[i] == title or (markup and text[i][0] in "\\|!{&$`="):
+            if i in own or i in sample or key[i] == title or (markup and text[i][0] in "\\|!{&$`="):
                 tok[i] = 0
         out = aligned(rows, tok, wrapper)
     # ---- wordings
-    worded = {i for i in rows if i not in out and words and U.worded(text[i], plain[i])}
+    worded = {i for i in rows if i not in out and words and i not in sample and U.worded(text[i], plain[i])}
     labels = {i for i in rows if words and U.RELATED.match(plain[i])}
     template, out = out, out | worded
     # ---- slots
