@@ -1,14 +1,15 @@
 """Problem 9: mixing sources to target shares of tokens.
 
 Each source's texts are laid end to end, in bounded lanes, and cut into blocks of a fixed number of tokens. The
-output is a sequence of shards of equally many slots; every shard draws how many of its slots each source
+output is a sequence of shards of equally many slots, in groups of as many shards as there are groups; every shard draws how many of its slots each source
 fills from the target shares, and a source's slots take its blocks in pseudorandom order, one pass after another,
 so no block is used again before all have been used as often. Only counts per source and lane reach the driver.
 """
 
 from __future__ import annotations
 
-from math import ceil
+from collections.abc import Iterator
+from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from corpusloom.session import materialize
 BLOCK = 256  # tokens of a block
 SLOTS = 64  # slots of a shard
 LANE_ROWS = 50_000  # texts of one lane, on average
-GROUPS = 200  # groups of shards whose counts are drawn together
+CHUNK = 64  # shards that a task puts out at a time
 
 
 def permute(x: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -57,7 +58,7 @@ def plan(blocks: dict[str, int], shares: dict[str, float], repeats: dict[str, in
     slots = int((caps / p).min())
     while slots > 0:
         shards = max(1, slots // SLOTS)
-        groups = min(GROUPS, shards)
+        groups = ceil(sqrt(shards))  # as many groups as there are shards in a group
         g = np.random.default_rng(seed)
         size = np.full(groups, slots // groups)
         size[: slots % groups] += 1
@@ -98,29 +99,32 @@ def mix(docs: DataFrame, doc_id: str, source: Column, n_tokens: str, targets: Da
     starts = np.concatenate([[0], np.cumsum([max(1, int(d.sum()) // SLOTS) for d in drawn])])
     sizes = [blocks[s] for s in names]
 
-    def slots(p: pd.DataFrame) -> pd.DataFrame:
-        g = int(p["grp"].iloc[0])
-        left, rng, out = drawn[g].copy(), np.random.default_rng([11, g]), []
-        nth = before[g].copy()
-        shards = int(starts[g + 1] - starts[g])
-        for k in range(shards):
-            n = int(left.sum()) // (shards - k)
-            take = rng.multivariate_hypergeometric(left, n) if k < shards - 1 else left.copy()
-            order = rng.permutation(np.repeat(np.arange(len(names)), take))
-            for s in range(len(names)):
-                at = np.flatnonzero(order == s)
-                x = nth[s] + np.arange(len(at))
-                done = x // sizes[s]
-                b = np.empty(len(x), dtype=np.int64)
-                for e in np.unique(done):
-                    b[done == e] = permute(x[done == e] % sizes[s], sizes[s], 1000 * s + int(e))
-                out.append(pd.DataFrame({"shard": int(starts[g]) + k, "slot": at.astype(np.int32), "source": names[s], "block": b, "pass_no": (done + 1).astype(np.int32)}))
-                nth[s] += len(at)
-            left -= take
-        return pd.concat(out)
-
-    grp = spark.range(len(drawn)).select(F.col("id").cast("int").alias("grp")).repartition(min(len(drawn), 64), "grp")
-    used = grp.groupBy("grp").applyInPandas(slots, "shard bigint, slot int, source string, block bigint, pass_no int")
+    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            for g, first, shards, counts, used in zip(p["grp"], p["first"], p["shards"], p["counts"], p["before"]):
+                left, nth, rng, rows = np.array(counts), np.array(used), np.random.default_rng([11, g]), []
+                for k in range(shards):
+                    n = int(left.sum()) // (shards - k)
+                    take = rng.multivariate_hypergeometric(left, n) if k < shards - 1 else left.copy()
+                    order = rng.permutation(np.repeat(np.arange(len(names)), take))
+                    rows.append((np.full(len(order), first + k), np.arange(len(order), dtype=np.int32), order))
+                    left -= take
+                    if len(rows) == CHUNK or k == shards - 1:
+                        shard, slot, source = (np.concatenate(c) for c in zip(*rows))
+                        block, pass_no = np.empty(len(shard), dtype=np.int64), np.empty(len(shard), dtype=np.int32)
+                        for s in range(len(names)):
+                            at = np.flatnonzero(source == s)
+                            x = nth[s] + np.arange(len(at))
+                            done = x // sizes[s]
+                            pass_no[at] = done + 1
+                            for e in np.unique(done):
+                                block[at[done == e]] = permute(x[done == e] % sizes[s], sizes[s], 1000 * s + int(e))
+                            nth[s] += len(at)
+                        yield pd.DataFrame({"shard": shard, "slot": slot, "source": np.array(names, dtype=object)[source], "block": block, "pass_no": pass_no})
+                        rows = []
+
+    plans = spark.createDataFrame([(g, int(starts[g]), int(starts[g + 1] - starts[g]), drawn[g].tolist(), before[g].tolist()) for g in range(len(drawn))], "grp int, first bigint, shards bigint, counts array<bigint>, before array<bigint>")
+    used = plans.repartition(min(len(drawn), 1_000), "grp").mapInPandas(slots, "shard bigint, slot int, source string, block bigint, pass_no int")
     # ---- blocks of every text
     offset = F.create_map(*[F.lit(x) for k, v in sorted(first.items()) for x in (f"{k[0]}\x1f{k[1]}", v)])
     at = offset[F.concat_ws("\x1f", "source", "lane")]

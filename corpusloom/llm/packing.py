@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import materialize
 
-PART = 20_000  # items of one part
+PART = 10_000  # items of one part, on average
 
 
 def first_fit(sizes: np.ndarray, cap: int) -> list[list[int]]:
@@ -36,56 +36,76 @@ def first_fit(sizes: np.ndarray, cap: int) -> list[list[int]]:
     return bins
 
 
-def improve(sizes: np.ndarray, bins: list[list[int]], cap: int, rounds: int = 400) -> list[list[int]]:
+def improve(sizes: np.ndarray, bins: list[list[int]], cap: int) -> list[list[int]]:
     """Local search on a packing; the number of bins never grows and every accepted step raises the squared fill.
 
-    The emptiest bin gives up documents: a move into another bin's room, or an exchange for one smaller document
-    or for two that together are smaller, where the other bin is at least as full and has room for the
-    difference. It stops at the least possible number of bins, or when a bin can be drained no further.
+    Bins give up documents, the emptiest first: a move into another bin's room, or an exchange for one smaller
+    document or for two that together are smaller, where the other bin is at least as full and has room for the
+    difference. Of all exchanges the one that moves most is made; one for one is sought among all items at once, two
+    for one in the bins whose room could beat it. It ends when the least possible number of bins is reached, or when
+    no bin has a step left.
     """
     least = -(-int(sizes.sum()) // cap) if len(sizes) else 0
-    stuck: set[int] = set()
-    fill = [int(sizes[b].sum()) if b else 0 for b in map(list, bins)]
-    for _ in range(rounds):
-        live = [b for b in range(len(bins)) if bins[b] and b not in stuck]
-        if sum(1 for b in bins if b) <= max(1, least) or len(live) < 2:
-            break
-        low = min(live, key=lambda b: (fill[b], b))
-        open_ = sorted((b for b in range(len(bins)) if bins[b] and b != low and fill[b] < cap and fill[b] >= fill[low]), key=lambda b: fill[b])[:256]
-        changed = False
+    bins = [list(b) for b in bins if b]
+    where = np.empty(len(sizes), dtype=np.int64)
+    for b, members in enumerate(bins):
+        where[members] = b
+    fill = np.array([int(sizes[b].sum()) for b in bins], dtype=np.int64)
+    alive = np.ones(len(bins), bool)
+
+    def step(low: int) -> bool:
+        """One step that takes something out of a bin; whether there was one."""
+        room = np.where(alive & (fill >= fill[low]), cap - fill, 0)
+        room[low] = 0
+        most = int(room.max(initial=0))
         for i in sorted(bins[low], key=lambda j: -sizes[j]):
-            s, best = int(sizes[i]), None
-            for b in open_:
-                room = cap - fill[b]
-                if s <= room:
-                    best = (s, b, ())
+            s = int(sizes[i])
+            if s <= most:
+                to = int(np.where(room >= s, room, cap + 1).argmin())
+                return swap(low, i, to, ())
+            gain = s - sizes
+            ok = (gain > 0) & (gain <= room[where])
+            best, to, back = 0, -1, ()
+            if ok.any():
+                j = int(np.where(ok, gain, 0).argmax())
+                best, to, back = int(gain[j]), int(where[j]), (j,)
+            for b in np.flatnonzero(room > best)[np.argsort(-room[room > best], kind="stable")].tolist():
+                if room[b] <= best:
                     break
                 inside = sorted((int(sizes[j]), j) for j in bins[b] if sizes[j] < s)
-                for t, j in inside:
-                    if s - t <= room and (best is None or s - t > best[0]):
-                        best = (s - t, b, (j,))
                 lo, hi = 0, len(inside) - 1
-                while lo < hi:  # two for one: the pair with the least sum that still fits
-                    t = inside[lo][0] + inside[hi][0]
-                    if t >= s:
+                while lo < hi:  # the pair with the least sum that still fits
+                    left = s - inside[lo][0] - inside[hi][0]
+                    if left <= 0:
                         hi -= 1
                     else:
-                        if s - t <= room and (best is None or s - t > best[0]):
-                            best = (s - t, b, (inside[lo][1], inside[hi][1]))
+                        if best < left <= room[b]:
+                            best, to, back = left, b, (inside[lo][1], inside[hi][1])
                         lo += 1
             if best:
-                gain, b, back = best
-                bins[low].remove(i)
-                for j in back:
-                    bins[b].remove(j)
-                bins[low].extend(back)
-                bins[b].append(i)
-                fill[b] += gain
-                fill[low] -= gain
-                changed = True
-                break
-        if not changed:
-            stuck.add(low)
+                return swap(low, i, to, back)
+        return False
+
+    def swap(low: int, i: int, to: int, back: tuple[int, ...]) -> bool:
+        gain = int(sizes[i]) - sum(int(sizes[j]) for j in back)
+        bins[low].remove(i)
+        bins[to].append(i)
+        where[i] = to
+        for j in back:
+            bins[to].remove(j)
+            bins[low].append(j)
+            where[j] = low
+        fill[to] += gain
+        fill[low] -= gain
+        alive[low] = bool(bins[low])
+        return True
+
+    moved = True
+    while moved and alive.sum() > max(1, least):
+        moved = False
+        for low in np.argsort(fill, kind="stable").tolist():
+            while alive[low] and fill[low] < cap and alive.sum() > max(1, least) and step(low):
+                moved = True
     return [b for b in bins if b]
 
 
@@ -121,6 +141,7 @@ def containers(items: DataFrame, item_id: str, size: str, capacities: dict[str,
         return pd.DataFrame(out, columns=["limit_name", "container", "id", "piece_no", "token_from", "token_to"])
 
     dealt = counted.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    dealt = dealt.repartition(parts, "part")  # a fixed number, so that parts are not put together in one task
     return dealt.groupBy("part").applyInPandas(run, f"limit_name string, container string, id {kind}, piece_no int, token_from bigint, token_to bigint").withColumnRenamed("id", item_id)
 
 
