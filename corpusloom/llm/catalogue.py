@@ -36,7 +36,9 @@ def p2_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return p2_text(spark, d).select("page_id", F.explode("markup").alias("markup"))
+    """What residue the conversion finds in each article's content; the clean text itself is not asked for."""
+    found = markup.convert(table(spark, d, "pages"), "page_id", "article_html", "url", clean_text=False)
+    return found.select(F.col("row_id").alias("page_id"), F.explode("markup").alias("markup"))
 
 
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:

@@ -41,16 +41,17 @@ def passages(w: np.ndarray) -> np.ndarray:
 
 
 def marked(texts: DataFrame, k: int) -> DataFrame:
-    """(cls, w) to (cls, w, ps, s0..s3): a text's distinct passage hashes and its parity bitmap."""
+    """(cls, w) and more to the same with ps and s0..s3: a text's distinct passage hashes and its parity bitmap."""
     a, b = S.samplers(SAMPLES)
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             ps = [passages(w).view(np.int64) for w in p["w"]]
             sk = np.array([S.parity_sketch(S.min_samples(np.unique(S.runs(w, k)), a, b)) for w in p["w"]]).reshape(-1, S.SKETCH_WORDS)
-            yield pd.DataFrame({"cls": p["cls"], "w": p["w"], "ps": ps, **{c: sk[:, i] for i, c in enumerate(S.SKETCH_COLS)}})
+            yield p.assign(ps=ps, **{c: sk[:, i] for i, c in enumerate(S.SKETCH_COLS)})
 
-    return texts.mapInPandas(mark, "cls binary, w array<bigint>, ps array<bigint>, " + ", ".join(f"{c} bigint" for c in S.SKETCH_COLS))
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in texts.schema)
+    return texts.mapInPandas(mark, kinds + "ps array<bigint>, " + ", ".join(f"{c} bigint" for c in S.SKETCH_COLS))
 
 
 @dataclass
@@ -182,8 +183,11 @@ def repeats(docs: DataFrame, text: str, keys: list[str], batch: str, history: st
     h = History.open(spark, path) if old else History.create(spark, path, **params)
     numbers = [r[0] for r in docs.select(batch).filter(F.col(batch).isNotNull()).distinct().orderBy(batch).collect()]  # one row per delivery
     out = None
+    rows = materialize(S.text_classes(docs.filter(F.col(batch).isNotNull()), text, [*keys, batch], h.min_words), "batches", [batch])
+    texts = rows.groupBy(batch, "cls").agg(F.first("w").alias("w"))
+    texts = materialize(marked(texts, h.k), "marked", [batch])  # of all batches at once; each is checked and accepted by itself
     for n in numbers:
-        b = h.prepare(docs.filter(F.col(batch) == n), text, [*keys, batch])
+        b = Batch(rows.filter(F.col(batch) == n), texts.filter(F.col(batch) == n).drop(batch))
         if old or n != numbers[0]:
             hit = b.rows.join(h.check(b).select("cls"), "cls", "left_semi").select(*keys, batch).distinct()
             hit = materialize(hit, "repeats")

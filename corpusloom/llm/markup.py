@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import materialize, small_batches
+from corpusloom.session import small_batches
 
 SAMPLE, SAMPLE_CHARS = 1_500, 20_000_000  # labelled pages that the weights are fitted on, at most, and their characters
 
@@ -34,7 +34,7 @@ def tokens(source: str) -> list[tuple[str, int, int]]:
     out, tag, mark, code, last = [], False, False, False, 0
     for m in _TOKEN.finditer(source):
         t = m.group()
-        fresh = source.find("\n", last, m.start()) >= 0 or not out or out[-1][0][:1] == "<"
+        fresh = not out or out[-1][0][:1] == "<" or source.find("\n", last, m.start()) >= 0
         last = m.end()
         if t.startswith("<!--"):
             out.append(("!", m.start(), m.end()))
@@ -47,7 +47,8 @@ def tokens(source: str) -> list[tuple[str, int, int]]:
             mark = mark and not end
             out.append((("</" if end else "<") + name, m.start(), m.end()))
         else:
-            mark = bool(_MARK.fullmatch(t)) if fresh else mark
+            if fresh:
+                mark = t[0] in "#=" and bool(_MARK.fullmatch(t))
             out.append(("c ", m.start(), m.end()) if code else (("h " if tag or mark else "") + ("".join(filter(str.isalpha, t.lower())) or "#"), m.start(), m.end()))
     return out
 
@@ -83,11 +84,7 @@ def scores(ts: list[tuple[str, int, int]], weights: dict[str, float]) -> list[fl
     return [max(-CLIP, weights[k]) if k in weights else rare["<"] if k[0] in "<!" else rare["h"] if k[:2] == "h " else rare[""] for k, _, _ in ts]
 
 
-def region(source: str, weights: dict[str, float]) -> tuple[int, int]:
-    """Start and end of the best-scoring run of tokens, the longest one of equals; the whole text if it has no tags."""
-    ts = tokens(source)
-    if all(k[0] != "<" for k, _, _ in ts):
-        return 0, len(source)
+def _best(source: str, ts: list[tuple[str, int, int]], weights: dict[str, float], whole: list[tuple[int, int]]) -> tuple[int, int]:
     best, total, start, got = 0.0, 0.0, 0, (0, len(source))
     for i, (v, (_, _, e)) in enumerate(zip(scores(ts, weights), ts)):
         total += v
@@ -96,32 +93,49 @@ def region(source: str, weights: dict[str, float]) -> tuple[int, int]:
         if total < 0:
             total, start = 0.0, i + 1
     a, b = got
-    for m in _DROP.finditer(source):  # a code sample or formula is inside or outside as a whole
-        if m.start() < a < m.end():
-            a = m.start()
-        if m.start() < b < m.end():
-            b = m.end()
+    for x, y in whole:  # a code sample or formula is inside or outside as a whole
+        if x < a < y:
+            a = x
+        if x < b < y:
+            b = y
     return a, b
 
 
+def _spans(source: str) -> list[tuple[int, int]]:
+    return [m.span() for m in _DROP.finditer(source)] if "<" in source else []
+
+
+def region(source: str, weights: dict[str, float]) -> tuple[int, int]:
+    """Start and end of the best-scoring run of tokens, the longest one of equals; the whole text if it has no tags."""
+    ts = tokens(source)
+    return _best(source, ts, weights, _spans(source)) if any(k[0] == "<" for k, _, _ in ts) else (0, len(source))
+
+
 def content(source: str, weights: dict[str, float]) -> str:
     """The content region, from the article's first heading on, without the lines in it whose words speak against them."""
-    a, b = region(source, weights)
+    ts, whole = tokens(source), _spans(source)
+    if not any(k[0] == "<" for k, _, _ in ts):
+        return source
+    a, b = _best(source, ts, weights, whole)
     if (m := re.search(r"<h1\b", source, re.I)) and m.start() < a:
         a = m.start()
-    if all(k[0] != "<" for k, _, _ in tokens(source[a:b])):
-        return source[a:b]
-    whole = [(m.start(), m.end()) for m in _DROP.finditer(source)]
-    out, at, n = [], a, 0
+    out, at, n, t = [], a, 0, 0
     for line in source[a:b].split("\n"):
+        end = at + len(line)
+        against, words = 0.0, 0
+        while t < len(ts) and ts[t][1] < end:
+            k = ts[t][0]
+            if ts[t][1] >= at and k[0] not in "<!":
+                words += 1
+                if k in weights:
+                    against += max(-2 * CLIP, weights[k] - LEAN)
+            t += 1
         while n < len(whole) and whole[n][1] <= at:
             n += 1
-        code = n < len(whole) and whole[n][0] < at + len(line) and at < whole[n][1]
-        words = [] if code else [k for k, _, _ in tokens(line) if k[0] not in "<!"]
-        against = [max(-2 * CLIP, weights[k] - LEAN) for k in words if k in weights]
-        if sum(against) >= min(DOUBT, MEAN * len(words)) or _PIECE.search(line):
+        code = n < len(whole) and whole[n][0] < end and at < whole[n][1]
+        if code or against >= min(DOUBT, MEAN * words) or _PIECE.search(line):
             out.append(line)
-        at += len(line) + 1
+        at = end + 1
     return "\n".join(out)
 
 
@@ -281,26 +295,26 @@ def _weights(pages: DataFrame, row_id: str, text: str, url: str | None) -> dict[
 
     The sample is the first pages by the hash of their id, up to ``SAMPLE`` pages and ``SAMPLE_CHARS`` characters.
     """
-    from corpusloom.llm.wrappers import furniture
+    from corpusloom.llm.site_lines import host
+    from corpusloom.llm.wrappers import sample_furniture
 
-    src = pages.filter(F.length(text) > 0).select(F.col(row_id).alias("id"), F.xxhash64(row_id).alias("h"), F.length(text).alias("n"), F.col(text).alias("t"), (F.col(url) if url else F.lit(None).cast("string")).alias("u"))
-    first = src.select("h", "id", "n").orderBy("h", "n").limit(SAMPLE).collect()  # at most SAMPLE rows of numbers
-    if not first:
-        return dict(DEFAULT)
-    total, last = 0, first[0]["h"]
+    site = F.coalesce(host(F.col(url)), F.lit("")) if url else F.lit("")
+    src = pages.filter(F.length(text) > 0).select(F.xxhash64(row_id).alias("h"), F.length(text).alias("n"), F.col(text).alias("t"), site.alias("s"))
+    first = src.select("h", "n").orderBy("h", "n").limit(SAMPLE).collect()  # at most SAMPLE rows of numbers
+    total, last = 0, None
     for r in first:
         total += r["n"]
-        if total > SAMPLE_CHARS and r["h"] != last:
+        if total > SAMPLE_CHARS:
             break
         last = r["h"]
-    few = materialize(src.filter(F.col("h") <= last), "sample")
-    lines = furniture(few.withColumn("r", F.xxhash64("h", "t")), "r", "t", "u", markup=True).groupBy("row_id").agg(F.collect_set("line_no").alias("out"))  # lines of one page
-    rows = few.withColumn("row_id", F.xxhash64("h", "t")).join(lines, "row_id", "left").orderBy("h", "t").select("t", "out").collect()  # the sample
-    return fit_weights([r.t for r in rows], [set(r.out or ()) for r in rows])
+    if last is None:
+        return dict(DEFAULT)
+    rows = src.filter(F.col("h") <= last).orderBy("h", "t").limit(SAMPLE).collect()  # the sample
+    return fit_weights([r.t for r in rows], sample_furniture([(r.s, r.t) for r in rows], True))
 
 
-def convert(pages: DataFrame, row_id: str, text: str, url: str | None = None) -> DataFrame:
-    """row_id, text (clean) and markup (sorted kinds of residue) of every article.
+def convert(pages: DataFrame, row_id: str, text: str, url: str | None = None, clean_text: bool = True) -> DataFrame:
+    """row_id, text (clean; null without ``clean_text``) and markup (sorted kinds of residue) of every article.
 
     ``url`` names the column whose hosts are the sites that the labelling of the sample goes by.
     A null article gives null text and no kinds, an empty one an empty text. Repeated rows give equal rows.
@@ -318,7 +332,7 @@ def convert(pages: DataFrame, row_id: str, text: str, url: str | None = None) ->
                     kinds.append([])
                     continue
                 t = content(t, w)
-                clean.append(plain_text(t))
+                clean.append(plain_text(t) if clean_text else None)
                 kinds.append(sorted(residue(t)))
             yield pd.DataFrame({"row_id": p["row_id"], "text": clean, "markup": kinds})
 

@@ -399,3 +399,20 @@ def main_body(docs: DataFrame, row_id: str, text: str, lines: DataFrame) -> Data
     j = docs.select(F.col(row_id).cast("bigint").alias("row_id"), F.col(text).alias("_t")).join(gone, "row_id", "left")
     kept = F.filter(F.split("_t", "\n"), lambda x, i: ~F.array_contains("_gone", i + 1))
     return j.select("row_id", F.when(F.col("_gone").isNull(), F.col("_t")).otherwise(F.array_join(kept, "\n")).alias("text"))
+
+
+def sample_furniture(pages: list[tuple[str, str]], markup: bool, least: int = 4, share: float = 0.02) -> list[set[int]]:
+    """As ``furniture`` for a bounded list of (site, text), without Spark: the line numbers of each."""
+    sites: dict[str, dict[str, tuple]] = {}
+    for site, text in pages:
+        sites.setdefault(site, {})[text] = ()
+    known = {}
+    for site, texts in sites.items():
+        streams = [line_tokens(t.split("\n"), markup) for t in sorted(texts)]
+        df = Counter(k for s, m, _ in streams for k in {*s, *m} if k)
+        fixed = {k for k, n in df.items() if n >= least and n >= share * len(streams)}
+        w = Wrapper()
+        for s, m, r in streams:
+            w.add_page(s, fixed, r, m)
+        known[site] = w.settle() if fixed else None
+    return [set(furniture_lines(t.split("\n"), known[s], markup)) for s, t in pages]
