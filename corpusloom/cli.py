@@ -60,8 +60,8 @@ def main(argv: list[str] | None = None) -> int:
             memory = Memory(spark, f"{o.output_dir}/memory")
             have = memory.read()
             decided = materialize(A.decide_batch(pages, have, cfg), "decided")
-            first = have.count()
-            rows = materialize(A.memory_rows(decided, have, first), "rows")
+            first = max(memory.next_index(), readers.next_file_index(spark, o.output_dir))
+            rows = materialize(A.memory_rows(decided, have, first, at=F.current_timestamp()), "rows")
             failed = materialize(A.error_rows(decided, readers.next_file_index(spark, o.output_dir, first + decided.filter("decision = 'SAVE'").count())), "failed")
             memory.upsert(rows)
             writers.write_documents(rows, o.output_dir)

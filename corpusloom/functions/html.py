@@ -96,10 +96,12 @@ class _Tree(HTMLParser):
 
 
 def _nodes(node: list) -> Iterator[list]:
-    for c in node[2]:
-        if isinstance(c, list):
-            yield c
-            yield from _nodes(c)
+    """All elements below a node in document order. No recursion here and below: pages may be nested to any depth."""
+    todo = [c for c in reversed(node[2]) if isinstance(c, list)]
+    while todo:
+        n = todo.pop()
+        yield n
+        todo += [c for c in reversed(n[2]) if isinstance(c, list)]
 
 
 def _has(node: list, name: str) -> bool:
@@ -107,29 +109,30 @@ def _has(node: list, name: str) -> bool:
 
 
 def _strings(node: list) -> Iterator[str]:
-    for c in node[2]:
+    todo = list(reversed(node[2]))
+    while todo:
+        c = todo.pop()
         if isinstance(c, str):
             yield c
         else:
-            yield from _strings(c)
+            todo += reversed(c[2])
 
 
 def _code(pre: list) -> str:
     """Code of a block, fenced. Where its lines are elements of their own, each of them ends a line."""
     out: list[str] = []
-
-    def walk(node: list, inside: bool) -> None:
-        for c in node[2]:
-            if isinstance(c, str):
-                out.append(c)
-            elif _has(c, "line") or (inside and _has(c, "code")):
-                if out and not out[-1].endswith("\n"):
-                    out.append("\n")
-                out.append("".join(_strings(c)).rstrip("\n") + "\n")
-            else:
-                walk(c, inside or _has(c, "ec-line"))
-
-    walk(pre, False)
+    todo = [(c, False) for c in reversed(pre[2])]
+    while todo:
+        c, inside = todo.pop()
+        if isinstance(c, str):
+            out.append(c)
+        elif _has(c, "line") or (inside and _has(c, "code")):
+            if out and not out[-1].endswith("\n"):
+                out.append("\n")
+            out.append("".join(_strings(c)).rstrip("\n") + "\n")
+        else:
+            inside = inside or _has(c, "ec-line")
+            todo += [(x, inside) for x in reversed(c[2])]
     body = "".join(out)
     if any(_has(n, "line") or _has(n, "ec-line") for n in _nodes(pre)):
         body = re.sub(r"\n{2,}", "\n", body)  # white space between the line elements is no line
@@ -137,13 +140,15 @@ def _code(pre: list) -> str:
 
 
 def _parts(node: list) -> Iterator[str]:
-    for c in node[2]:
+    todo = list(reversed(node[2]))
+    while todo:
+        c = todo.pop()
         if isinstance(c, str):
             yield c
         elif c[0] == "pre":
             yield _code(c)
         elif c[0] not in FURNITURE:
-            yield from _parts(c)
+            todo += reversed(c[2])
 
 
 def article(html: str | None) -> str | None:

@@ -15,7 +15,7 @@ TERMS = (
     "kustomization gitrepository receiver sops secret bootstrap install configuration build lock pin architecture arm amd64"
 ).split()
 # Fixed value: the shape of a deciding model's answer.
-ANSWER = r"(?is)DECISION:\s*(SAVE|CONSOLIDATE|SKIP)\s*\n(?:TARGET_ID:[^\S\n]+(.*?)\n)?REASON:\s*(.*)"
+ANSWER = r"(?isU)DECISION:\s*(SAVE|CONSOLIDATE|SKIP)\s*\n(?:TARGET_ID:\s*(.+?)\s*\n)?REASON:\s*(.+)"
 
 
 def word_count(t: Column) -> Column:
@@ -101,13 +101,14 @@ def excerpt(text: Column, limit: int = C.EXCERPT_CHARS) -> Column:
 def parse_decision(answer: Column) -> Column:
     """decision, target_id and reason of a model's answer.
 
-    The word in any case, an optional TARGET_ID line with something after its colon, and a REASON to the end; an
-    answer of any other shape means SAVE.
+    The word in any case, an optional TARGET_ID with anything but REASON after its colon, and a REASON to the end that
+    is not empty; an answer of any other shape means SAVE. A target of blanks is none.
     """
     word = F.upper(F.regexp_extract(answer, ANSWER, 1))
     got = F.coalesce(word != "", F.lit(False))
-    target = F.nullif(F.trim(F.regexp_extract(answer, ANSWER, 2)), F.lit(""))
-    reason = F.regexp_replace(F.regexp_extract(answer, ANSWER, 3), r"^\s+|\s+$", "")
+    bare = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    target = F.nullif(bare(F.regexp_extract(answer, ANSWER, 2)), F.lit(""))
+    reason = bare(F.regexp_extract(answer, ANSWER, 3))
     return F.struct(F.when(got, word).otherwise("SAVE").alias("decision"), F.when(got, target).alias("target_id"), F.when(got, reason).otherwise(C.NO_MATCH_REASON).alias("reason"))
 
 
@@ -121,6 +122,16 @@ def decide_prompt(u: Column, title: Column, text: Column, hits: Column) -> Colum
     return F.concat(F.lit("New page "), u, F.lit(" titled "), F.coalesce(title, F.lit("")), F.lit("\n\n"), F.substring(text, 1, C.EXCERPT_CHARS), F.lit("\n\nStored documents like it:\n"), similar_block(hits), F.lit("\n\nAnswer with the lines DECISION, TARGET_ID if consolidating, and REASON."))
 
 
+def clean_prompt(u: Column, title: Column, text: Column) -> Column:
+    """The prompt for a cleaning model; the text is cut to what the model takes."""
+    return F.concat(F.lit("Give back only the body text of this page: headings, paragraphs, lists and code, without menus, banners, side bars and footers.\n\nURL: "), u, F.lit("\nTitle: "), F.coalesce(title, F.lit("")), F.lit("\n\n"), truncated(text))
+
+
+def merge_prompt(target: Column, old: Column, u: Column, title: Column, new: Column) -> Column:
+    """The prompt for a merging model."""
+    return F.concat(F.lit("Merge these two texts into one body, each fact once, and give back only that.\n\nStored as "), target, F.lit(":\n"), F.coalesce(old, F.lit("")), F.lit("\n\nNew, from "), u, F.lit(" titled "), F.coalesce(title, F.lit("")), F.lit(":\n"), new)
+
+
 def streamed_answer(body: Column) -> Column:
     """text and error of a server-sent-events body of a model.
 

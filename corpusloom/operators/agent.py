@@ -16,7 +16,7 @@ from corpusloom.config import Config
 from corpusloom.functions import html as H
 from corpusloom.functions import text as T
 from corpusloom.operators import vectors as V
-from corpusloom.session import lookup_join, materialize
+from corpusloom.session import materialize
 
 DECISIONS = ("SAVE", "CONSOLIDATE", "SKIP", "ERROR")
 
@@ -102,12 +102,12 @@ def error_rows(decided: DataFrame, first_index: int = 0) -> DataFrame:
     return decided.filter("decision = 'ERROR'").select(H.doc_name(F.row_number().over(w) - 1 + first_index, F.col("title")).alias("doc_id"), "url", "title", "content")
 
 
-def memory_rows(decided: DataFrame, memory: DataFrame, first_index: int = 0, merger: Callable = merge_lines) -> DataFrame:
+def memory_rows(decided: DataFrame, memory: DataFrame, first_index: int = 0, merger: Callable = merge_lines, at: Column | None = None) -> DataFrame:
     """Rows to upsert: saved pages under new ids, consolidated ones under their target's.
 
     A consolidated document keeps the target's url and title, gets the merged text and the vector of the newest
     page merged into it. Targets inside the batch become the id that their page is saved under; ``decide_batch``
-    has followed chains of consolidation to the page that is saved.
+    has followed chains of consolidation to the page that is saved. ``at`` is the time to note.
     """
     saved = decided.filter("decision = 'SAVE'")
     ids = saved_ids(decided, first_index)
@@ -121,7 +121,7 @@ def memory_rows(decided: DataFrame, memory: DataFrame, first_index: int = 0, mer
     out = base.select("doc_id", "url", "title", "content", "embedding", "seq").join(add, "doc_id", "full").join(old, "doc_id", "left")
     known = out.filter(F.col("content").isNotNull() | F.col("old").isNotNull())
     body = F.when(F.col("more").isNull(), F.col("content")).otherwise(merger(F.coalesce("content", "old"), F.col("more")))
-    return known.select("doc_id", body.alias("content"), F.coalesce("last.embedding", "embedding").alias("embedding"), F.coalesce("url", "old_url").alias("url"), F.coalesce("title", "old_title").alias("title"), F.lit(None).cast("timestamp").alias("ts"), T.word_count(body).cast("int").alias("word_count"))
+    return known.select("doc_id", body.alias("content"), F.coalesce("last.embedding", "embedding").alias("embedding"), F.coalesce("url", "old_url").alias("url"), F.coalesce("title", "old_title").alias("title"), (F.lit(None) if at is None else at).cast("timestamp").alias("ts"), T.word_count(body).cast("int").alias("word_count"))
 
 
 def results(decided: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -137,7 +137,13 @@ def recall(memory: DataFrame, queries: DataFrame, row_id: str, vector: str, k: i
     return V.nearest(queries, memory, row_id, vector, k, threshold)
 
 
-def merged_targets(pages: DataFrame, stored: DataFrame, target: str) -> DataFrame:
-    """Merged bodies of pages with a known target: target id, url, title, content of the stored document."""
-    j = lookup_join(pages.withColumnRenamed(target, "doc_id").select("doc_id", F.col("content").alias("new")), stored.select("doc_id", "url", "title", "content"), ["doc_id"])
-    return j.select("doc_id", "url", "title", merge_lines(F.col("content"), F.col("new")).alias("content"))
+def merged_targets(pages: DataFrame, stored: DataFrame, target: str, order: str) -> DataFrame:
+    """Merged bodies of pages with a known target: target id, url, title, content of the stored document.
+
+    All pages of a target are merged into it one after another, by ``order``, then content; a content that comes again
+    adds nothing, and neither does an empty one.
+    """
+    new = pages.filter((F.col(target).isNotNull()) & (F.col("content") != "")).groupBy(F.col(target).alias("doc_id"), "content").agg(F.min(order).alias("o"))
+    new = new.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("o", "content"))).alias("more"))  # distinct texts that become one document
+    j = new.join(stored.select("doc_id", "url", "title", F.col("content").alias("old")), "doc_id")
+    return j.select("doc_id", "url", "title", F.aggregate("more", F.col("old"), lambda acc, x: merge_lines(acc, x["content"])).alias("content"))

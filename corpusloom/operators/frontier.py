@@ -6,6 +6,8 @@ is a failed fetch, one whose text is blank was fetched but yields nothing.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,18 +29,18 @@ def admitted(urls: DataFrame, host: str, prefix: str | None = None) -> DataFrame
     return urls.filter(U.on_host(F.col("url"), host) & U.under_prefix(F.col("url"), prefix))
 
 
-def crawl(pages: DataFrame, start: str, prefix: str | None = None, max_pages: int = 300, max_levels: int = 50) -> DataFrame:
+def crawl(pages: DataFrame, start: str, prefix: str | None = None, max_pages: int = 300, max_levels: int | None = None) -> DataFrame:
     """Pages reached from ``start``: url, depth, state (yielded, empty, failed), in levels.
 
     Every level is one join with the page source and is written to the shared folder. It stops when a level
-    finds nothing new, when ``max_pages`` pages have been yielded (the last ones by url), or after ``max_levels``.
+    finds nothing new, when ``max_pages`` pages have been yielded (the last ones by url), or after ``max_levels`` if given.
     """
     spark = pages.sparkSession
     host = start.split("://", 1)[-1].split("/", 1)[0].split("?", 1)[0].split("#", 1)[0].lower()
     source = pages.select("url", "html").dropDuplicates(["url"])
     level = admitted(spark.createDataFrame([(start.split("#", 1)[0],)], "url string"), host, prefix)
     done, seen, yielded = None, None, 0
-    for depth in range(max_levels):
+    for depth in count() if max_levels is None else range(max_levels):
         got = level.join(source, "url", "left").withColumn("state", F.when(F.col("html").isNull(), "failed").when(H.page_text(F.col("html")) == "", "empty").otherwise("yielded"))
         got = got.withColumn("rank", F.row_number().over(Window.partitionBy("state").orderBy("url")))
         got = got.filter((F.col("state") != "yielded") | (F.col("rank") <= max_pages - yielded))

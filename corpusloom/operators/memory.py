@@ -1,12 +1,15 @@
 """The document memory: a versioned table with one row per document id.
 
-A version is a folder ``v=N``; the pointer file is renamed into place once the version is complete, so readers
-never see half of one. Columns: doc_id, content, embedding, url, title, ts, word_count.
+A version is a folder ``v=N``, and a mark ``done/N`` is created once it is complete; the current version is the greatest
+marked one, so readers never see half of one, and at no moment none. A mark notes the batch that the version ends with
+and the next free index. Columns: doc_id, content, embedding, url, title, ts, word_count.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id string, content string, embedding array<double>, url string, title string, ts timestamp, word_count int"
@@ -22,8 +25,8 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
 def upserted(memory: DataFrame, changes: DataFrame, key: str = "doc_id") -> DataFrame:
     """Memory with the changed rows put in whole; the later of changes to one key wins by column _seq, if there is one."""
     seq = F.col("_seq") if "_seq" in changes.columns else F.lit(0)
-    new = changes.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(seq.desc()))).filter("_n = 1").select(*memory.columns)
-    return memory.join(new.select(key), key, "left_anti").select(*memory.columns).unionByName(new.filter(F.col(key).isNotNull()))
+    new = latest(changes.withColumn("_seq", seq).select(*memory.columns, "_seq"), key, "_seq").select(*memory.columns)
+    return memory.join(new.select(key), key, "left_anti").select(*memory.columns).unionByName(new)
 
 
 def deleted(memory: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -36,7 +39,7 @@ def got(memory: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 class Memory:
-    """A memory kept in a folder."""
+    """A memory kept in a folder, for one writer at a time."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -45,31 +48,51 @@ class Memory:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def version(self) -> int | None:
-        p = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(p):
-            return None
-        return int(self.spark.read.text(f"{self.root}/CURRENT").first()[0])
+        done = self._path(f"{self.root}/done")
+        marks = [int(f.getPath().getName()) for f in self._fs.listStatus(done) if f.getPath().getName().isdigit()] if self._fs.exists(done) else []
+        return max(marks, default=None)
+
+    def note(self, version: int | None = None) -> dict:
+        """What the mark of a version, the current one if none is named, says: batch and next."""
+        v = self.version() if version is None else version
+        return {"batch": None, "next": 0} if v is None else json.loads(self.spark.read.text(f"{self.root}/done/{v}", wholetext=True).first()[0])
 
-    def read(self) -> DataFrame:
+    def read(self, version: int | None = None) -> DataFrame:
+        v = self.version() if version is None else version
+        return self.spark.createDataFrame([], SCHEMA) if v is None or v < 0 else self.spark.read.schema(SCHEMA).parquet(f"{self.root}/v={v}")
+
+    def before(self, batch: int) -> DataFrame:
+        """The memory as it was before a batch: the version before, if the current one ends with it."""
         v = self.version()
-        return self.spark.createDataFrame([], SCHEMA) if v is None else self.spark.read.schema(SCHEMA).parquet(f"{self.root}/v={v}")
+        return self.read(v - 1) if v is not None and self.note(v)["batch"] == batch else self.read(v)
+
+    def next_index(self) -> int:
+        """The index after the greatest that was ever given; deleted documents keep theirs."""
+        return self.note()["next"]
 
-    def write(self, rows: DataFrame) -> int:
-        """A new complete version; the pointer moves last, and the version before the previous one is dropped."""
+    def write(self, rows: DataFrame, batch: int | None = None, least: int = 0) -> int:
+        """A new complete version; its mark comes last, and the version before the previous one is dropped."""
         v = self.version()
         n = 0 if v is None else v + 1
-        rows.select(*[F.col(c) for c in self.spark.createDataFrame([], SCHEMA).columns]).write.mode("overwrite").parquet(f"{self.root}/v={n}")
-        out = self._fs.create(self._path(f"{self.root}/CURRENT.new"), True)
-        out.write(str(n).encode())
+        path = f"{self.root}/v={n}"
+        rows.select(*[F.col(c) for c in self.spark.createDataFrame([], SCHEMA).columns]).write.mode("overwrite").parquet(path)
+        used = self.spark.read.schema(SCHEMA).parquet(path).agg(F.max(F.expr("try_cast(regexp_extract(doc_id, '^([0-9]+)_', 1) as int)"))).first()[0]
+        note = json.dumps({"batch": batch, "next": max(self.note(v)["next"] if v is not None else 0, least, -1 if used is None else used + 1, 0)})
+        aside, mark = self._path(f"{self.root}/done/{n}.new"), self._path(f"{self.root}/done/{n}")
+        out = self._fs.create(aside, True)
+        out.write(note.encode())
         out.close()
-        self._fs.delete(self._path(f"{self.root}/CURRENT"), False)
-        self._fs.rename(self._path(f"{self.root}/CURRENT.new"), self._path(f"{self.root}/CURRENT"))
+        if not self._fs.rename(aside, mark):
+            raise RuntimeError(f"version {n} was written by someone else")
         if n >= 2:
+            self._fs.delete(self._path(f"{self.root}/done/{n - 2}"), False)
             self._fs.delete(self._path(f"{self.root}/v={n - 2}"), True)
         return n
 
-    def upsert(self, changes: DataFrame) -> int:
-        return self.write(upserted(self.read(), changes))
+    def upsert(self, changes: DataFrame, batch: int | None = None, least: int = 0) -> int:
+        """Put changes in; those of a batch that the current version already ends with replace that version's."""
+        base = self.read() if batch is None else self.before(batch)
+        return self.write(upserted(base, changes), batch, least)
 
     def delete(self, ids: DataFrame) -> int:
         return self.write(deleted(self.read(), ids))

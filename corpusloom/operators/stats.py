@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators.agent import DECISIONS
+from corpusloom.session import lookup_join
 
 
 def decision_counts(results: DataFrame) -> DataFrame:
@@ -50,10 +51,17 @@ def corpus_totals(docs: DataFrame, text: str) -> DataFrame:
     return docs.filter(t.isNotNull()).agg(F.count("*").alias("total_files"), F.sum(F.size(T.words(t))).alias("total_words"), F.sum(F.length(t)).alias("total_characters"))
 
 
+def topics(events: DataFrame, source: str, url: str, k: int) -> DataFrame:
+    """source, url, rank (from 1) of the k urls of each source that have most events, ties by url."""
+    n = events.filter(F.col(source).isNotNull() & F.col(url).isNotNull()).groupBy(F.col(source).alias("source"), F.col(url).alias("url")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("source").orderBy(F.desc("n"), "url")
+    return n.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("source", "url", "rank")
+
+
 def top_per_source(pages: DataFrame, topics: DataFrame, source: str, url: str, k: int = 8) -> DataFrame:
     """The first k urls of each source by topic rank (999 without one), then url: source, url, rank, place."""
     p = pages.filter(F.col(source).isNotNull() & F.col(url).isNotNull()).select(F.col(source).alias("source"), F.col(url).alias("url")).distinct()
-    p = p.join(F.broadcast(topics), ["source", "url"], "left").withColumn("rank", F.coalesce("rank", F.lit(999)))  # topics is a fixed list
+    p = lookup_join(p, topics, ["source", "url"], "left").withColumn("rank", F.coalesce("rank", F.lit(999)))
     w = Window.partitionBy("source").orderBy("rank", "url")
     return p.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 

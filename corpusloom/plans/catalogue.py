@@ -53,7 +53,7 @@ def page_title(spark, d):
 
 @query
 def ledger_title(spark, d):
-    return _pages(spark, d).select("page_id", F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.lit("Untitled")).alias("title"))
+    return _scrape(spark, d).select("fetch_id", H.ledger_title(F.col("html")).alias("title"))
 
 
 @query
@@ -148,14 +148,22 @@ def internal_links(spark, d):
     return links.internal(_linked(spark, d), "page_id", "url", "article_html")
 
 
+def _ledger_html(spark, d):
+    """Pages that consist of the links that the ledger lists for them: page_id, url, html."""
+    anchors = F.array_join(F.transform(F.coalesce("links", F.array()), lambda x: F.concat(F.lit('<a href="'), x, F.lit('">x</a>'))), "")
+    return _pages(spark, d).select("page_id", "url", F.concat(F.lit("<h1>p</h1>"), anchors).alias("html"))
+
+
 @query
 def external_links(spark, d):
-    return links.external(_linked(spark, d), "page_id", "url", "article_html")
+    """Links of the ledger's pages that leave the page's host."""
+    return links.external(_ledger_html(spark, d), "page_id", "url", "html")
 
 
 @query
 def sorted_links(spark, d):
-    return links.internal(_linked(spark, d), "page_id", "url", "article_html", "/docs").select("target").distinct().orderBy("target")
+    """Links of the ledger's pages to pages of their own host below /docs."""
+    return links.internal(_ledger_html(spark, d), "page_id", "url", "html", "/docs").select("target").distinct().orderBy("target")
 
 
 @query
@@ -189,11 +197,10 @@ def crawl_limit(spark, d):
 def crawl_levels(spark, d):
     """A crawl of the ledger's link graph from the url with most links of its own host."""
     p = _pages(spark, d).filter("url IS NOT NULL")
-    anchors = F.array_join(F.transform(F.coalesce("links", F.array()), lambda x: F.concat(F.lit('<a href="'), x, F.lit('">x</a>'))), "")
-    store = p.select("url", F.concat(F.lit("<h1>p</h1>"), anchors).alias("html"))
+    store = _ledger_html(spark, d).filter("url IS NOT NULL").select("url", "html")
     own = p.select("url", F.explode("links").alias("to")).filter(U.same_site(F.col("url"), F.col("to")))
     start = own.groupBy("url").agg(F.countDistinct("to").alias("n")).orderBy(F.desc("n"), "url").limit(1).first()
-    return frontier.crawl(store, start.url if start else ROOT, None, 1000, 12)
+    return frontier.crawl(store, start.url if start else ROOT, None, 1000)
 
 
 @query
@@ -287,11 +294,13 @@ def largest_docs(spark, d):
 
 @query
 def parse_decision(spark, d):
-    """Answers made of the recorded outcomes, in four spellings, parsed back."""
+    """Answers made of the recorded outcomes, in eight spellings, some of which can't be read, parsed back."""
     r = table(spark, d, "process_result").select("url", "decision", "doc_id", "reason").distinct()
-    n = F.length("url") % 4
+    n = F.length("url") % 8
     tail = F.concat(F.lit("REASON: "), F.coalesce("reason", F.lit("none")))
-    answer = F.when(n == 0, F.concat(F.lit("DECISION: "), "decision", F.lit("\n"), tail)).when(n == 1, F.concat(F.lit("decision: "), "decision", F.lit("\nTARGET_ID: "), F.coalesce("doc_id", F.lit("")), F.lit("\n"), tail)).when(n == 2, F.concat(F.lit("DECISION: "), "decision", F.lit("\nTARGET_ID:\n"), tail)).otherwise(F.concat(F.lit("I think "), "decision"))
+    answer = F.when(n == 0, F.concat(F.lit("DECISION: "), "decision", F.lit("\n"), tail)).when(n == 1, F.concat(F.lit("decision: "), "decision", F.lit("\nTARGET_ID: "), F.coalesce("doc_id", F.lit("")), F.lit("\n"), tail)).when(n == 2, F.concat(F.lit("DECISION: "), "decision", F.lit("\nTARGET_ID:\n"), tail)).when(n == 3, F.concat(F.lit("I think "), "decision"))
+    answer = answer.when(n == 4, F.concat(F.lit("DECISION: "), "decision", F.lit("\nTARGET_ID:"), F.coalesce("doc_id", F.lit("")), F.lit("\n"), tail)).when(n == 5, F.concat(F.lit("Decision:"), "decision", F.lit(" \nTarget_id: "), F.coalesce("doc_id", F.lit("")), F.lit("\n\n"), tail))
+    answer = answer.when(n == 6, F.concat(F.lit("DECISION: "), "decision", F.lit("\nREASON:"))).otherwise(F.concat(F.lit("DECISION: "), "decision", F.lit("\nNOTE: none\n"), tail))
     return r.select("url", "decision", "doc_id", "reason", T.parse_decision(answer).alias("p")).select("url", F.col("doc_id").alias("given_id"), F.col("reason").alias("given_reason"), F.col("decision").alias("given"), "p.*")
 
 
@@ -346,11 +355,10 @@ def agent_pipeline(spark, d):
 
 @query
 def consolidate_merge(spark, d):
-    """Later batches merged into the stored document of the same id."""
+    """All later batches merged, in their order, into the stored document of the same id."""
     s = table(spark, d, "similar_document").filter("doc_id IS NOT NULL AND content IS NOT NULL")
     stored = M.latest(s.filter("batch = 0").select("doc_id", "url", "title", "content", "recalled_at"), "doc_id", "recalled_at")
-    later = M.latest(s.filter("batch > 0").select("doc_id", "content", "batch"), "doc_id", "batch")
-    return A.merged_targets(later, stored, "doc_id").select("doc_id", "content")
+    return A.merged_targets(s.filter("batch > 0"), stored, "doc_id", "batch").select("doc_id", "content")
 
 
 @query
@@ -407,21 +415,22 @@ def _stored(spark, d):
 
 @query
 def memory_upsert(spark, d):
-    """The history with the last batch put in: one row per id, the newest by time, then content."""
-    s = table(spark, d, "similar_document").filter("batch IN (0, 6) AND doc_id IS NOT NULL AND content IS NOT NULL")
-    return M.latest(s.select("doc_id", "content", F.struct("batch", F.coalesce("recalled_at", F.lit("1970-01-01").cast("timestamp_ntz")), "content").alias("o")), "doc_id", "o").select("doc_id", "content")
+    """The history with all later batches put in: one row per id, the newest by batch, time, then content."""
+    s = table(spark, d, "similar_document").filter("doc_id IS NOT NULL AND content IS NOT NULL")
+    s = s.select("doc_id", "content", "batch", F.struct("batch", F.coalesce("recalled_at", F.lit("1970-01-01").cast("timestamp_ntz")), "content").alias("_seq"))
+    return M.upserted(M.latest(s.filter("batch = 0"), "doc_id", "_seq").select("doc_id", "content"), s.filter("batch > 0"))
 
 
 @query
 def memory_delete(spark, d):
     s = table(spark, d, "similar_document")
-    return M.deleted(s.filter("batch = 0").select("doc_id", "url"), s.filter("batch = 1").select("doc_id")).distinct()
+    return M.deleted(s.filter("batch = 0").select("doc_id", "url"), s.filter("batch > 0").select("doc_id")).distinct()
 
 
 @query
 def memory_get(spark, d):
     s = table(spark, d, "similar_document")
-    return M.got(s.filter("batch = 0").select("doc_id", "url"), s.filter("batch = 1").select("doc_id")).distinct()
+    return M.got(s.filter("batch = 0").select("doc_id", "url"), s.filter("batch > 0").select("doc_id")).distinct()
 
 
 @query
@@ -444,9 +453,8 @@ def ai_gate(spark, d):
 
 @query
 def topic_top8(spark, d):
-    """The eight first urls of each source; the urls that coverage names most are its topics."""
-    topics = spark.createDataFrame([("quaymere", "https://quaymere.test/docs/", 1)], "source string, url string, rank int")
-    return stats.top_per_source(_pages(spark, d), topics, "source", "url")
+    """The eight first urls of each source; the twenty urls that its coverage names most are its topics."""
+    return stats.top_per_source(_pages(spark, d), stats.topics(table(spark, d, "coverage"), "source", "url", 20), "source", "url")
 
 
 @query

@@ -58,7 +58,7 @@ _FINDINGS = {
 SQL: dict[str, str] = {
     "page_text": f"SELECT * FROM (SELECT fetch_id, {_text('html')} AS text FROM scrape_url) WHERE text <> ''",
     "page_title": f"SELECT fetch_id, {_TITLE} AS title FROM scrape_url",
-    "ledger_title": "SELECT page_id, coalesce(nullif(trim(title), ''), 'Untitled') AS title FROM pages",
+    "ledger_title": rf"SELECT fetch_id, coalesce(nullif(trim(regexp_replace({_unescape("regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')")}, '\s+', ' ', 'g')), ''), 'Untitled') AS title FROM scrape_url",
     "filename_slug": f"SELECT fetch_id, slug, CASE WHEN fetch_id < 1000 THEN lpad(CAST(fetch_id AS VARCHAR), 3, '0') ELSE CAST(fetch_id AS VARCHAR) END || '_' || slug AS doc_name FROM (SELECT fetch_id, coalesce(nullif({_SLUG}, ''), 'scraped_content') AS slug FROM scrape_url WHERE title IS NOT NULL)",
     "next_index": "SELECT coalesce(max(TRY_CAST(regexp_extract(doc_id, '^([0-9]+)_', 1) AS INT)), -1) + 1 AS next_index FROM process_result",
     "render_document": f"SELECT fetch_id, {_DOC.format(t=_TITLE, b=_text('html'))} AS body FROM scrape_url",
@@ -76,8 +76,8 @@ SQL: dict[str, str] = {
     "validate_urls": r"SELECT fetch_id, coalesce(regexp_matches(url, '^https?://([^\s/?#@]+@)?([A-Za-z0-9]([A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(:[0-9]{1,5})?([/?#]\S*)?$'), false) AS ok FROM scrape_url",
     "resolve_links": _RESOLVED + "SELECT DISTINCT page_id, href, target FROM r",
     "internal_links": _RESOLVED + f"SELECT DISTINCT page_id, target FROM r WHERE {_SAME}",
-    "external_links": _RESOLVED.split(",\nr AS")[0] + f" SELECT DISTINCT page_id, href AS target FROM l WHERE href LIKE 'http%' AND coalesce(regexp_extract(href, '{_SCHEME}([^/?#]*)', 2) <> {_NETLOC}, true)",
-    "sorted_links": _RESOLVED + rf"SELECT DISTINCT target FROM r WHERE {_SAME} AND regexp_matches(lower(regexp_extract(target, '{_SCHEME}[^/?#]*([^?#]*)', 2)), '^/docs(/|$)')",
+    "external_links": rf"WITH l AS (SELECT page_id, url, unnest(links) AS target FROM pages) SELECT DISTINCT page_id, target FROM l WHERE target LIKE 'http%' AND coalesce(NOT ({_SAME}), true)",
+    "sorted_links": rf"WITH l AS (SELECT page_id, url, unnest(links) AS target FROM pages) SELECT DISTINCT regexp_replace(target, '#.*$', '') AS target FROM l WHERE {_SAME} AND regexp_matches(lower(regexp_extract(target, '{_SCHEME}[^/?#]*([^?#]*)', 2)), '^/docs(/|$)')",
     "page_link_arrays": f"WITH l AS (SELECT page_id, unnest(links) AS url FROM pages WHERE url IS NOT NULL), c AS (SELECT page_id, {_CANON} AS c FROM l) SELECT page_id, array_to_string(list_sort(list(DISTINCT c)), ' ') AS links FROM c WHERE {_scope('c')} GROUP BY page_id",
     "frontier_antijoin": "WITH l AS (SELECT DISTINCT unnest(links) AS url FROM pages) SELECT url FROM l WHERE url IS NOT NULL AND url NOT IN (SELECT url FROM pages WHERE source = 'quaymere' AND url IS NOT NULL)",
     "frontier_priority": f"SELECT url, depth, row_number() OVER (ORDER BY depth, url) AS rank FROM (SELECT DISTINCT url, {_DEPTH} AS depth FROM pages WHERE url IS NOT NULL)",
@@ -95,8 +95,8 @@ SQL: dict[str, str] = {
     "short_articles": "SELECT doc_id FROM documents WHERE text IS NULL OR length(text) < 80",
     "corpus_size": "SELECT count(*) AS files, sum(strlen(text)) AS bytes, round(sum(strlen(text)) / (1024 * 1024), 6) AS mb FROM documents WHERE text IS NOT NULL",
     "largest_docs": "SELECT doc_id, strlen(text) AS bytes FROM documents WHERE text IS NOT NULL ORDER BY bytes DESC, doc_id LIMIT 5",
-    "parse_decision": "WITH r AS (SELECT DISTINCT url, decision, doc_id, reason FROM process_result) SELECT url, doc_id AS given_id, reason AS given_reason, decision AS given, CASE WHEN length(url) % 4 IN (2, 3) OR upper(decision) NOT IN ('SAVE', 'SKIP', 'CONSOLIDATE') THEN 'SAVE' ELSE upper(decision) END AS decision, "
-    "CASE WHEN length(url) % 4 = 1 AND upper(decision) IN ('SAVE', 'SKIP', 'CONSOLIDATE') THEN doc_id END AS target_id, CASE WHEN length(url) % 4 IN (2, 3) OR upper(decision) NOT IN ('SAVE', 'SKIP', 'CONSOLIDATE') THEN 'Unparseable decision; saved by default' ELSE trim(coalesce(reason, 'none')) END AS reason FROM r",
+    "parse_decision": "WITH r AS (SELECT DISTINCT url, decision, doc_id, reason, length(url) % 8 AS n FROM process_result), k AS (SELECT *, coalesce(upper(decision) IN ('SAVE', 'SKIP', 'CONSOLIDATE') AND (n IN (0, 1, 5) OR n = 4 AND doc_id <> ''), false) AS ok FROM r) "
+    "SELECT url, doc_id AS given_id, reason AS given_reason, decision AS given, CASE WHEN ok THEN upper(decision) ELSE 'SAVE' END AS decision, CASE WHEN ok AND n IN (1, 4, 5) THEN nullif(doc_id, '') END AS target_id, CASE WHEN ok THEN trim(coalesce(reason, 'none')) ELSE 'Unparseable decision; saved by default' END AS reason FROM k",
     "decision_counts": "SELECT d AS decision, count(p.url) AS n FROM (VALUES ('SAVE'), ('CONSOLIDATE'), ('SKIP'), ('ERROR')) AS v(d) LEFT JOIN process_result p ON upper(p.decision) = d GROUP BY d",
     "crawl_summary": "SELECT count(*) AS pages_processed, count(*) FILTER (WHERE upper(decision) IN ('SAVE', 'CONSOLIDATE') OR upper(decision) = 'ERROR' AND file_path IS NOT NULL) AS files_created, count(DISTINCT url) AS urls_seen, count(DISTINCT url) FILTER (WHERE upper(decision) = 'ERROR') AS urls_failed FROM process_result",
     "success_rate": "SELECT seen, failed, round(coalesce(seen / nullif(seen + failed, 0), 0.0), 6) AS success_rate, round(coalesce((seen - failed) / nullif(seen, 0), 0.0), 6) AS success_rate_strict FROM (SELECT count(DISTINCT url) AS seen, count(DISTINCT url) FILTER (WHERE upper(decision) = 'ERROR') AS failed FROM process_result)",
@@ -107,16 +107,20 @@ SQL: dict[str, str] = {
     "knn_topk": _KNN + "SELECT query_id, hit_id, round(sim, 6) AS similarity, rank FROM r WHERE rank <= 5",
     "recall_threshold": _KNN + "SELECT query_id, hit_id, round(sim, 6) AS similarity FROM r WHERE rank <= 5 AND round(sim, 12) >= 0.35",
     "mean_pool": "WITH x AS (SELECT label, unnest(range(0, len(embedding))) AS dim, unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings), m AS (SELECT label, dim, avg(v) AS m FROM x GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(m * m)) AS n FROM m GROUP BY 1) SELECT label, dim, round(m / n, 6) AS value FROM m JOIN n USING (label)",
-    "memory_upsert": "SELECT doc_id, content FROM (SELECT doc_id, content, row_number() OVER (PARTITION BY doc_id ORDER BY batch DESC, coalesce(recalled_at, TIMESTAMP '1970-01-01') DESC, content DESC) AS n FROM similar_document WHERE batch IN (0, 6) AND doc_id IS NOT NULL AND content IS NOT NULL) WHERE n = 1",
-    "memory_delete": "SELECT DISTINCT doc_id, url FROM similar_document WHERE batch = 0 AND doc_id NOT IN (SELECT doc_id FROM similar_document WHERE batch = 1 AND doc_id IS NOT NULL)",
-    "memory_get": "SELECT DISTINCT doc_id, url, 0.0::DOUBLE AS distance FROM similar_document WHERE batch = 0 AND doc_id IN (SELECT doc_id FROM similar_document WHERE batch = 1)",
+    "memory_upsert": "SELECT doc_id, content FROM (SELECT doc_id, content, row_number() OVER (PARTITION BY doc_id ORDER BY batch DESC, coalesce(recalled_at, TIMESTAMP '1970-01-01') DESC, content DESC) AS n FROM similar_document WHERE doc_id IS NOT NULL AND content IS NOT NULL) WHERE n = 1",
+    "memory_delete": "SELECT DISTINCT doc_id, url FROM similar_document WHERE batch = 0 AND doc_id NOT IN (SELECT doc_id FROM similar_document WHERE batch > 0 AND doc_id IS NOT NULL)",
+    "memory_get": "SELECT DISTINCT doc_id, url, 0.0::DOUBLE AS distance FROM similar_document WHERE batch = 0 AND doc_id IN (SELECT doc_id FROM similar_document WHERE batch > 0)",
     "memory_count": "SELECT count(DISTINCT doc_id) AS n FROM similar_document",
-    "consolidate_merge": "WITH s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY recalled_at DESC NULLS LAST, url DESC NULLS LAST, title DESC NULLS LAST, content DESC) AS n FROM similar_document WHERE batch = 0 AND doc_id IS NOT NULL AND content IS NOT NULL), "
-    "l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY batch DESC, content DESC) AS n FROM similar_document WHERE batch > 0 AND doc_id IS NOT NULL AND content IS NOT NULL) "
-    "SELECT s.doc_id, CASE WHEN s.content = '' THEN l.content ELSE array_to_string(list_concat(string_split(s.content, chr(10)), list_filter(string_split(l.content, chr(10)), lambda x: NOT list_contains(string_split(s.content, chr(10)), x))), chr(10)) END AS content FROM s JOIN l ON s.doc_id = l.doc_id WHERE s.n = 1 AND l.n = 1",
+    "consolidate_merge": "WITH s AS (SELECT doc_id, content, row_number() OVER (PARTITION BY doc_id ORDER BY recalled_at DESC NULLS LAST, url DESC NULLS LAST, title DESC NULLS LAST, content DESC) AS n FROM similar_document WHERE batch = 0 AND doc_id IS NOT NULL AND content IS NOT NULL), "
+    "l AS (SELECT doc_id, content, min(batch) AS b FROM similar_document WHERE batch > 0 AND doc_id IS NOT NULL AND content <> '' GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY b, content) AS k FROM l), "
+    "x AS (SELECT doc_id, k, i, string_split(content, chr(10))[i] AS line FROM k, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS u(i)), f AS (SELECT *, min(k) OVER (PARTITION BY doc_id, line) AS first FROM x), "
+    "m AS (SELECT s.doc_id, s.content, string_agg(line, chr(10) ORDER BY k, i) FILTER (WHERE k = first AND (s.content = '' OR NOT list_contains(string_split(s.content, chr(10)), line))) AS more FROM s JOIN f ON s.doc_id = f.doc_id WHERE s.n = 1 GROUP BY 1, 2) "
+    "SELECT doc_id, CASE WHEN more IS NULL THEN content WHEN content = '' THEN more ELSE content || chr(10) || more END AS content FROM m",
     "source_phase": "SELECT source, saved, failed, blocked, CASE WHEN ends = 0 THEN 'running' WHEN failed + blocked > 0 THEN 'finished_with_gaps' ELSE 'finished' END AS phase FROM (SELECT source, count(*) FILTER (WHERE kind = 'page_saved') AS saved, count(*) FILTER (WHERE kind = 'page_failed') AS failed, count(*) FILTER (WHERE kind = 'robots_blocked') AS blocked, count(*) FILTER (WHERE kind = 'source_finished') AS ends FROM coverage WHERE source IS NOT NULL GROUP BY source)",
     "ai_gate": "SELECT coalesce(bool_and(n > 0), false) AS ready FROM (SELECT source, count(*) FILTER (WHERE kind = 'source_finished') AS n FROM coverage WHERE source IS NOT NULL GROUP BY source)",
-    "topic_top8": "SELECT source, url, CAST(rank AS INT) AS rank, place FROM (SELECT source, url, rank, row_number() OVER (PARTITION BY source ORDER BY rank, url) AS place FROM (SELECT DISTINCT source, url, CASE WHEN source = 'quaymere' AND url = 'https://quaymere.test/docs/' THEN 1 ELSE 999 END AS rank FROM pages WHERE source IS NOT NULL AND url IS NOT NULL)) WHERE place <= 8",
+    "topic_top8": "WITH c AS (SELECT source, url, count(*) AS n FROM coverage WHERE source IS NOT NULL AND url IS NOT NULL GROUP BY 1, 2), t AS (SELECT source, url, row_number() OVER (PARTITION BY source ORDER BY n DESC, url) AS rank FROM c), "
+    "p AS (SELECT DISTINCT source, url FROM pages WHERE source IS NOT NULL AND url IS NOT NULL), r AS (SELECT p.source, p.url, coalesce(t.rank, 999) AS rank FROM p LEFT JOIN t ON p.source = t.source AND p.url = t.url AND t.rank <= 20) "
+    "SELECT source, url, CAST(rank AS INT) AS rank, place FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank, url) AS place FROM r) WHERE place <= 8",
     "done_antijoin": "SELECT DISTINCT url FROM pages WHERE url IS NOT NULL AND url NOT IN (SELECT url FROM coverage WHERE kind = 'page_saved' AND url IS NOT NULL)",
     **_FINDINGS,
     "audit_findings": " UNION ALL ".join(f"SELECT source, '{f}' AS finding FROM ({_FINDINGS[q]})" for q, f in (("audit_duplicates", "duplicate urls"), ("audit_checksums", "article checksum mismatch"), ("audit_counts", "record count differs from report"))),

@@ -53,5 +53,7 @@ def replace_snapshot(spark: SparkSession, path: str, state: dict) -> None:
     out = where.create(aside, True)
     out.write(json.dumps(state, ensure_ascii=False).encode())
     out.close()
-    where.delete(target, False)
-    where.rename(aside, target)
+    modes = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    modes[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.makeQualified(target).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(where.makeQualified(aside), where.makeQualified(target), modes)  # replaces in one step

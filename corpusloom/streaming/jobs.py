@@ -24,9 +24,10 @@ def coverage_counts(spark: SparkSession, folder: str, late: str = "1 hour", widt
 def run_agent(spark: SparkSession, folder: str, memory_root: str, results_root: str, checkpoint: str, cfg: Config | None = None, embedder: Callable | None = None, files_per_batch: int = 1) -> StreamingQuery:
     """The agent over pages that arrive as JSON files: each batch is decided against the memory that the ones before left.
 
-    Results are written to a folder per batch and the memory to its next version; a batch that is run again after
-    a failure finds its results folder and leaves the memory alone. Pages that fail are written as they came to the
-    folder errors beside the memory's versions, by batch.
+    The memory's next version notes its batch, then results are written to a folder per batch. A batch that is run
+    again finds its results and does nothing; if they are missing, it is decided against the memory as it was before the
+    batch, so it comes to the same. Pages that fail are written as they came to the folder errors beside the memory's
+    versions, by batch.
     """
     memory, cfg = Memory(spark, memory_root), cfg or Config()
     pages = spark.readStream.schema(PAGE + ", seq bigint").option("maxFilesPerTrigger", files_per_batch).json(folder)
@@ -36,10 +37,12 @@ def run_agent(spark: SparkSession, folder: str, memory_root: str, results_root:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{done}/_SUCCESS")
         if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
             return
-        have = memory.read()
+        v = memory.version()
+        again = v is not None and memory.note(v)["batch"] == n
+        have, first = memory.before(n), memory.note(v - 1)["next"] if again and v else 0 if again else memory.next_index()
         decided = A.materialize(A.decide_batch(batch, have, cfg, embedder), "decided")
-        first = have.count()
-        memory.upsert(A.memory_rows(decided, have, first))
+        if not again:
+            memory.upsert(A.memory_rows(decided, have, first, at=F.current_timestamp()), n)
         writers.write_documents(A.error_rows(decided), f"{memory_root}/errors/batch={n}")
         A.results(decided, A.saved_ids(decided, first)).write.mode("overwrite").parquet(done)
 

@@ -88,6 +88,8 @@ def test_article(spark):
     assert H.article(lines) == "```\nservices:\n  runner:\n```"
     assert H.article('<article><pre><span class="line">one</span><span class="line">  two</span></pre></article>') == "```\none\n  two\n```"
     assert H.article('<body>out<div class="x td-content">in</div></body>') == "in"
+    deep = 20_000
+    assert H.article("<main>" + "<div>" * deep + "in" + "</div>" * deep + "<pre>" + "<b>" * deep + "c" + "</b>" * deep + "</pre></main>") == "in\n```\nc\n```"
     assert H.article("plain") is None and H.article(None) is None
     df = spark.createDataFrame([(1, "<main>a</main>", "k"), (2, None, "k")], "id int, article string, keep string")
     assert [tuple(r) for r in H.articles(df, "article", ["id", "keep"]).orderBy("id").collect()] == [(1, "k", "a"), (2, "k", None)]
@@ -101,6 +103,10 @@ DECISIONS = [
     ("DECISION: SAVE\nTARGET_ID:\nREASON: x", ("SAVE", None, "Unparseable decision; saved by default")),
     ("DECISION: SAVE\nTARGET_ID: \nREASON: x", ("SAVE", None, "x")),
     ("DECISION: CONSOLIDATE\nTARGET_ID: 000_A\nNOTE: b\nREASON: r", ("CONSOLIDATE", "000_A\nNOTE: b", "r")),
+    ("DECISION: CONSOLIDATE\nTARGET_ID:000_A\nREASON: r", ("CONSOLIDATE", "000_A", "r")),
+    ("DECISION: CONSOLIDATE\nTARGET_ID: 000_A\n\nREASON: r", ("CONSOLIDATE", "000_A", "r")),
+    ("DECISION: SKIP\nREASON:", ("SAVE", None, "Unparseable decision; saved by default")),
+    ("DECISION: SKIP\nNOTE: n\nREASON: r", ("SAVE", None, "Unparseable decision; saved by default")),
     (None, ("SAVE", None, "Unparseable decision; saved by default")),
 ]
 

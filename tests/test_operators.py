@@ -181,6 +181,36 @@ def test_agent_errors_are_written(spark, tmp_path, rows):
     assert readers.next_file_index(spark, f"{tmp_path}/mem/errors/batch=0") == 1 and readers.next_file_index(spark, f"{tmp_path}/none", 4) == 4
 
 
+def test_a_batch_replayed_comes_to_the_same(spark, tmp_path, rows):
+    """A failure after the memory was written and before the results were."""
+    (tmp_path / "in").mkdir()
+    args = (spark, f"file://{tmp_path}/in", f"file://{tmp_path}/mem", f"file://{tmp_path}/res", f"file://{tmp_path}/ck")
+    for n, (a, b) in enumerate(((0, 3), (3, 5))):
+        (tmp_path / f"in/{n}.json").write_text("\n".join(json.dumps(dict(zip(("seq", "url", "title", "content"), p))) for p in PAGES[a:b]))
+        jobs.run_agent(*args).awaitTermination()
+        res = lambda: rows(spark.read.parquet(f"file://{tmp_path}/res/batch={n}"), "url", "decision", "doc_id")
+        before, kept = res(), rows(M.Memory(spark, args[2]).read(), "doc_id", "content")
+        import shutil
+
+        shutil.rmtree(tmp_path / f"res/batch={n}")
+        (tmp_path / f"ck/commits/{n}").unlink()
+        (tmp_path / f"ck/commits/.{n}.crc").unlink(missing_ok=True)
+        jobs.run_agent(*args).awaitTermination()
+        assert res() == before and rows(M.Memory(spark, args[2]).read(), "doc_id", "content") == kept
+    assert all(r.ts is not None for r in M.Memory(spark, args[2]).read().collect())
+
+
+def test_indexes_are_never_given_twice(spark, tmp_path):
+    m = M.Memory(spark, f"file://{tmp_path}/m")
+    m.upsert(mem(spark, ("000_A", "a"), ("007_B", "b")))
+    m.delete(mem(spark, ("007_B", "b")))
+    assert m.next_index() == 8 and m.version() == 1
+    m.upsert(mem(spark, ("1003_C", "c")), 5)
+    assert m.next_index() == 1004 and m.note()["batch"] == 5 and m.before(5).count() == 1 and m.before(6).count() == 2
+    (tmp_path / "m/v=3").mkdir()  # a version that was never finished
+    assert m.version() == 2 and m.count() == 2
+
+
 def test_merge(spark):
     df = spark.createDataFrame([("a\nb", "b\nc"), ("", "x"), (None, "y")], "o string, n string")
     assert [r[0] for r in df.select(A.merge_lines(F.col("o"), F.col("n"))).collect()] == ["a\nb\nc", "x", "y"]
@@ -258,9 +288,9 @@ def test_lookup_join_salted(spark, rows):
     big = spark.createDataFrame([("k", i) for i in range(200)] + [("j", 1), (None, 2)], "k string, i int")
     small = spark.createDataFrame([("k", 9)], "k string, v int")
     for limit in (100, 0):
-        assert lookup_join(big, small, ["k"], max_rows=limit).count() == 200
-        assert lookup_join(big, small, ["k"], "left", max_rows=limit).count() == 202
-        assert lookup_join(big, small.select("k"), ["k"], "left_anti", max_rows=limit).count() == 2
+        assert lookup_join(big, small, ["k"], max_bytes=limit).count() == 200
+        assert lookup_join(big, small, ["k"], "left", max_bytes=limit).count() == 202
+        assert lookup_join(big, small.select("k"), ["k"], "left_anti", max_bytes=limit).count() == 2
 
 
 def test_streams(spark, tmp_path, rows):
