@@ -19,6 +19,16 @@ TRUNCATED = "\n\n[... content truncated for processing ...]"
 NO_MATCH_REASON = "Unparseable decision; saved by default"
 
 
+def scope_of(start: str, subdomain: str | None = None, prefix: str | None = None) -> tuple[str, str | None]:
+    """Host and path prefix that a crawl keeps to: those of the option ``host`` or ``host/path``, else the start's host.
+
+    A prefix that is given wins over the option's path.
+    """
+    host, _, path = (subdomain or "").strip().lower().partition("/")
+    host = host.strip() or start.split("://", 1)[-1].split("/", 1)[0].split("?", 1)[0].split("#", 1)[0].lower()
+    return host, prefix or (f"/{path.strip()}" if path.strip() else None)
+
+
 @dataclass(frozen=True)
 class Config:
     """Options of a crawl and of the agent; a threshold of 0 is a threshold like any other."""
@@ -26,6 +36,9 @@ class Config:
     max_pages: int = 300
     prefix: str | None = None
     include_external: bool = False
+    delay: float = 0.5
+    timeout: float = 10.0
+    user_agent: str = "WebScraper/2.0"
     use_agent: bool = True
     skip_clean: bool = False
     similarity: float = SIMILARITY

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator
 
@@ -33,6 +34,31 @@ def with_retry(call: Callable[[], object], attempts: int = ATTEMPTS, backoff: fl
     raise AssertionError
 
 
+class TimedOut(Transient):
+    """A call that did not come back in time."""
+
+
+def with_timeout(call: Callable[[], object], seconds: float) -> object:
+    """The call's result, or ``TimedOut`` once the time is up; the call is left behind in a thread of its own."""
+    box: list = []
+
+    def run() -> None:
+        try:
+            box.append((True, call()))
+        except BaseException as e:  # handed to the caller
+            box.append((False, e))
+
+    t = threading.Thread(target=run, daemon=True)
+    t.start()
+    t.join(seconds)
+    if not box:
+        raise TimedOut(f"no answer in {seconds} s")
+    ok, value = box[0]
+    if ok:
+        return value
+    raise value
+
+
 def check_status(status: int, detail: str, model: str) -> None:
     if status == 404:
         raise ModelMissing(f"model {model} not found")
@@ -51,8 +77,11 @@ def ensure_models(wanted: list[str], have: list[str]) -> None:
         raise ModelMissing("not served: " + ", ".join(missing))
 
 
-def generate(df: DataFrame, prompt: str, open_client: Callable[[], Callable[[str], str]], keep: list[str]) -> DataFrame:
-    """``keep``, answer, error: one client a task, closed at its end if it can be; a failed prompt has an error and no answer."""
+def generate(df: DataFrame, prompt: str, open_client: Callable[[], Callable[[str], str]], keep: list[str], timeout: float | None = None) -> DataFrame:
+    """``keep``, answer, error: one client a task, closed at its end if it can be; a failed prompt has an error and no answer.
+
+    With a ``timeout`` each attempt has that many seconds.
+    """
     src = df.select(*keep, F.col(prompt).alias("_p"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "_p")
 
@@ -63,7 +92,7 @@ def generate(df: DataFrame, prompt: str, open_client: Callable[[], Callable[[str
                 out, err = [], []
                 for x in p["_p"]:
                     try:
-                        t = with_retry(lambda x=x: client(x))
+                        t = with_retry(lambda x=x: client(x) if timeout is None else with_timeout(lambda: client(x), timeout))
                         if not str(t).strip():
                             raise ValueError("empty answer")
                         out.append(t)

@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.config import Config
 from corpusloom.functions import html as H
 from corpusloom.functions import text as T
+from corpusloom.functions.model import generate
 from corpusloom.operators import vectors as V
-from corpusloom.session import materialize
+from corpusloom.session import materialize, numbered
 
 DECISIONS = ("SAVE", "CONSOLIDATE", "SKIP", "ERROR")
 
@@ -73,6 +74,64 @@ def decide_batch(pages: DataFrame, memory: DataFrame, cfg: Config | None = None,
     return new.unionByName(again).unionByName(blank)
 
 
+def cleaned(pages: DataFrame, cfg: Config, open_client: Callable | None = None) -> DataFrame:
+    """seq, url, title, raw, content, error: pages with their cleaned text.
+
+    With ``skip_clean`` the text stays as it is; with ``open_client`` a model cleans what it can take of it, and a page it
+    fails on has an error and no content; without either the text stays too, for the callers extract the body.
+    """
+    raw = pages.select("seq", "url", "title", F.col("content").alias("raw"))
+    if cfg.skip_clean or open_client is None:
+        return raw.withColumn("content", F.col("raw")).withColumn("error", F.lit(None).cast("string"))
+    blank = F.coalesce(F.trim("raw"), F.lit("")) == ""
+    asked = raw.filter(~blank).withColumn("prompt", T.clean_prompt(F.col("url"), F.col("title"), F.substring("raw", 1, 1 << 30)))
+    got = generate(asked, "prompt", open_client, ["seq", "url", "title", "raw"]).withColumnRenamed("answer", "content")
+    return got.unionByName(raw.filter(blank).withColumn("content", F.col("raw")).withColumn("error", F.lit(None).cast("string")))
+
+
+def decide_by_model(pages: DataFrame, memory: DataFrame, open_client: Callable, cfg: Config | None = None, embedder: Callable | None = None) -> DataFrame:
+    """As ``decide_batch``, by a model: clean, embed, recall the ``top_k`` nearest that reach the threshold, ask, parse.
+
+    Pages are decided against the memory alone, so a batch of one page gives the strictly sequential behaviour; of
+    pages with the same cleaned text in a batch the later ones are skipped. An answer that can't be read means SAVE; a
+    target that the memory does not have is refused and the page saved. A page that any step fails on is an ERROR and
+    keeps its raw content.
+    """
+    cfg = cfg or Config()
+    p = materialize(cleaned(pages, cfg, open_client), "cleaned").withColumn("body", F.coalesce(normal_body(F.col("content")), F.lit("")))
+    none = lambda kind: F.lit(None).cast(kind)
+    broken = p.filter("error IS NOT NULL").select("seq", "url", F.lit("ERROR").alias("decision"), none("string").alias("target_id"), F.col("error").alias("reason"), "title", F.col("raw").alias("content"), none("array<double>").alias("embedding"), "error")
+    fine = p.filter("error IS NULL")
+    first = fine.filter("body <> ''").groupBy("body").agg(F.min("seq").alias("first"))
+    fine = fine.join(first, "body", "left")
+    skipped = fine.filter("body = '' OR seq <> first").select("seq", "url", F.lit("SKIP").alias("decision"), none("string").alias("target_id"), F.when(F.col("body") == "", "No body content after cleaning").otherwise("Duplicate of an earlier page").alias("reason"), "title", "content", none("array<double>").alias("embedding"), none("string").alias("error"))
+    emb = materialize(V.embedded(fine.filter("body <> '' AND seq = first"), "content", ["seq", "url", "title", "raw", "content"], embedder, cfg.max_embed), "embedded")
+    ok = emb.filter("error IS NULL")
+    near = V.nearest(ok.select(F.col("seq").cast("string").alias("doc_id"), "embedding"), memory.filter("embedding IS NOT NULL").select("doc_id", "embedding"), "doc_id", "embedding", cfg.top_k, cfg.similarity, skip_self=False)
+    known = near.select(F.col("query_id").alias("q"), F.col("hit_id").alias("doc_id"), "similarity", "rank").join(memory.select("doc_id", "title", "content"), "doc_id")
+    hits = known.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "similarity", "doc_id", "title", "content"))), lambda h: F.struct(h["similarity"].alias("similarity"), h["doc_id"].alias("doc_id"), h["title"].alias("title"), h["content"].alias("content"))).alias("hits"))  # at most top_k a page
+    asked = ok.join(hits, F.col("q") == F.col("seq").cast("string"), "left").withColumn("prompt", T.decide_prompt(F.col("url"), F.col("title"), F.col("content"), F.coalesce("hits", F.array().cast("array<struct<similarity:double,doc_id:string,title:string,content:string>>"))))
+    said = materialize(generate(asked, "prompt", open_client, ["seq", "url", "title", "raw", "content", "embedding"]), "answers")
+    parsed = said.filter("error IS NULL").withColumn("d", T.parse_decision(F.col("answer"))).select("seq", "url", "title", "content", "embedding", "d.*")
+    parsed = parsed.join(memory.select(F.col("doc_id").alias("target_id"), F.lit(True).alias("there")), "target_id", "left")
+    merge = (F.col("decision") == "CONSOLIDATE") & F.coalesce("there", F.lit(False))
+    done = parsed.select("seq", "url", F.when(merge, "CONSOLIDATE").when(F.col("decision") == "SKIP", "SKIP").otherwise("SAVE").alias("decision"), F.when(merge, F.col("target_id")).alias("target_id"), "reason", "title", "content", "embedding", none("string").alias("error"))
+    failed = emb.filter("error IS NOT NULL").select("seq", "url", "title", "raw", "error").unionByName(said.filter("error IS NOT NULL").select("seq", "url", "title", "raw", "error"))
+    failed = failed.select("seq", "url", F.lit("ERROR").alias("decision"), none("string").alias("target_id"), F.col("error").alias("reason"), "title", F.col("raw").alias("content"), none("array<double>").alias("embedding"), "error")
+    return done.unionByName(failed).unionByName(broken).unionByName(skipped)
+
+
+def merged_by_model(decided: DataFrame, memory: DataFrame, open_client: Callable, at: Column | None = None) -> DataFrame:
+    """Rows to upsert for the consolidated pages of a batch, merged by a model: the target's id, url and title, the merged
+    text and the vector of the newest page, and error. Where the model fails, the lines are merged instead."""
+    last = decided.filter("decision = 'CONSOLIDATE'").groupBy("target_id").agg(F.max_by(F.struct("url", "title", "content", "embedding"), "seq").alias("p"))
+    old = memory.select(F.col("doc_id").alias("target_id"), F.col("content").alias("old"), F.col("url").alias("old_url"), F.col("title").alias("old_title"))
+    asked = last.join(old, "target_id").select("target_id", "old", "old_url", "old_title", "p.content", "p.embedding", T.merge_prompt(F.col("target_id"), F.col("old"), F.col("p.url"), F.col("p.title"), F.col("p.content")).alias("prompt"))
+    got = generate(asked, "prompt", open_client, ["target_id", "old", "old_url", "old_title", "content", "embedding"])
+    body = F.coalesce("answer", merge_lines(F.col("old"), F.col("content")))
+    return got.select(F.col("target_id").alias("doc_id"), body.alias("content"), "embedding", F.col("old_url").alias("url"), F.col("old_title").alias("title"), (F.lit(None) if at is None else at).cast("timestamp").alias("ts"), T.word_count(body).cast("int").alias("word_count"), "error")
+
+
 def chain_ends(found: DataFrame) -> DataFrame:
     """seq, end of every page: the page at which following near_seq ends, which is itself if it is saved or has none.
 
@@ -89,8 +148,8 @@ def chain_ends(found: DataFrame) -> DataFrame:
 
 def saved_ids(decided: DataFrame, first_index: int = 0) -> DataFrame:
     """seq, url, title, doc_id: the new ids of saved pages."""
-    w = Window.partitionBy(F.lit(0)).orderBy("seq")
-    return decided.filter("decision = 'SAVE'").select("seq", "url", "title").withColumn("doc_id", H.doc_name(F.row_number().over(w) - 1 + first_index, F.col("title")))
+    saved = numbered(decided.filter("decision = 'SAVE'").select("seq", "url", "title"), ["seq"], "_n", first_index)
+    return saved.select("seq", "url", "title", H.doc_name(F.col("_n"), F.col("title")).alias("doc_id"))
 
 
 def error_rows(decided: DataFrame, first_index: int = 0) -> DataFrame:
@@ -98,8 +157,8 @@ def error_rows(decided: DataFrame, first_index: int = 0) -> DataFrame:
 
     ``first_index`` must lie past every id in use and those that ``saved_ids`` gives to the batch.
     """
-    w = Window.partitionBy(F.lit(0)).orderBy("seq")
-    return decided.filter("decision = 'ERROR'").select(H.doc_name(F.row_number().over(w) - 1 + first_index, F.col("title")).alias("doc_id"), "url", "title", "content")
+    failed = numbered(decided.filter("decision = 'ERROR'").select("seq", "url", "title", "content"), ["seq"], "_n", first_index)
+    return failed.select(H.doc_name(F.col("_n"), F.col("title")).alias("doc_id"), "url", "title", "content")
 
 
 def memory_rows(decided: DataFrame, memory: DataFrame, first_index: int = 0, merger: Callable = merge_lines, at: Column | None = None) -> DataFrame:

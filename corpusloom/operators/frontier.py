@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import html as H
 from corpusloom.functions import url as U
 from corpusloom.operators import links as L
-from corpusloom.session import materialize
+from corpusloom.session import materialize, numbered
 
 
 def unseen(candidates: DataFrame, *seen: DataFrame) -> DataFrame:
@@ -29,48 +29,55 @@ def admitted(urls: DataFrame, host: str, prefix: str | None = None) -> DataFrame
     return urls.filter(U.on_host(F.col("url"), host) & U.under_prefix(F.col("url"), prefix))
 
 
-def crawl(pages: DataFrame, start: str, prefix: str | None = None, max_pages: int = 300, max_levels: int | None = None) -> DataFrame:
+def crawl(pages: DataFrame, start: str, prefix: str | None = None, max_pages: int = 300, max_levels: int | None = None, include_external: bool = False) -> DataFrame:
     """Pages reached from ``start``: url, depth, state (yielded, empty, failed), in levels.
 
-    Every level is one join with the page source and is written to the shared folder. It stops when a level
-    finds nothing new, when ``max_pages`` pages have been yielded (the last ones by url), or after ``max_levels`` if given.
+    The store is read once, for the state and the links of its admitted pages; the levels are joins of urls alone and
+    are written to the shared folder. It stops when a level finds nothing new, when ``max_pages`` pages have been yielded
+    (the last ones by url), or after ``max_levels`` if given. With ``include_external`` links to other hosts are
+    candidates too; as all others they must be on the start's host, so they lead to no other site.
     """
     spark = pages.sparkSession
     host = start.split("://", 1)[-1].split("/", 1)[0].split("?", 1)[0].split("#", 1)[0].lower()
-    source = pages.select("url", "html").dropDuplicates(["url"])
+    store = admitted(pages.select("url", "html"), host, prefix).filter("html IS NOT NULL")
+    states = store.groupBy("url").agg(F.max(F.when(H.page_text(F.col("html")) == "", 0).otherwise(1)).alias("full"))
+    states = materialize(states.select("url", F.when(F.col("full") == 1, "yielded").otherwise("empty").alias("state")), "states")
+    page = store.select(F.col("url").alias("page"), "url", "html")
+    found = L.internal(page, "page", "url", "html", prefix)
+    if include_external:
+        found = found.union(L.external(page, "page", "url", "html")).distinct()
+    edges = materialize(admitted(found.select("page", F.col("target").alias("url")), host, prefix), "edges")
     level = admitted(spark.createDataFrame([(start.split("#", 1)[0],)], "url string"), host, prefix)
     done, seen, yielded = None, None, 0
     for depth in count() if max_levels is None else range(max_levels):
-        got = level.join(source, "url", "left").withColumn("state", F.when(F.col("html").isNull(), "failed").when(H.page_text(F.col("html")) == "", "empty").otherwise("yielded"))
-        got = got.withColumn("rank", F.row_number().over(Window.partitionBy("state").orderBy("url")))
-        got = got.filter((F.col("state") != "yielded") | (F.col("rank") <= max_pages - yielded))
-        got = materialize(got.withColumn("depth", F.lit(depth)), "level")
-        part = got.select("url", "depth", "state")
+        got = materialize(level.join(states, "url", "left").select("url", F.lit(depth).alias("depth"), F.coalesce("state", F.lit("failed")).alias("state")), "level")
+        n = got.filter("state = 'yielded'").count()
+        last = yielded + n >= max_pages
+        part = got.filter("state <> 'yielded'").union(got.filter("state = 'yielded'").orderBy("url").limit(max_pages - yielded)) if yielded + n > max_pages else got
         done = part if done is None else done.union(part)
-        seen = level if seen is None else seen.union(level)
-        yielded += got.filter("state = 'yielded'").count()
-        if yielded >= max_pages:
+        seen = got if seen is None else seen.union(got)
+        yielded += n
+        if last:
             break
-        found = _targets(got, prefix)
-        level = materialize(unseen(admitted(found, host, prefix), seen), "frontier")
+        reached = got.filter("state = 'yielded'").select(F.col("url").alias("page")).join(edges, "page").select("url")
+        level = materialize(unseen(reached, seen), "frontier")
         if level.isEmpty():
             break
     return done
 
 
-def _targets(got: DataFrame, prefix: str | None) -> DataFrame:
-    page = got.filter("state = 'yielded'").select(F.col("url").alias("page"), "url", "html")
-    return L.internal(page, "page", "url", "html", prefix).select(F.col("target").alias("url"))
+def within_scope(fetched: DataFrame, root: str) -> DataFrame:
+    """Fetched pages (final_url, content_type and more) with an error where a redirect led out of ``root``'s scope or the
+    answer is no HTML; null otherwise. The final url is the canonical one."""
+    final = U.canonical(F.col("final_url"))
+    error = F.when(~U.in_scope(final, F.lit(root)), F.concat(F.lit("Redirect outside scope: "), F.col("final_url"))).when(~F.coalesce(F.lower("content_type").contains("text/html"), F.lit(False)), "Not an HTML article")
+    have = F.col("error") if "error" in fetched.columns else F.lit(None).cast("string")
+    return fetched.withColumn("error", F.coalesce(have, error)).withColumn("final_url", final)
 
 
 def prioritised(urls: DataFrame) -> DataFrame:
     """url, depth (path segments) and rank in crawl order: fewest segments first, then by url."""
-    d = urls.select("url", U.depth(F.col("url")).alias("depth"))
-    # The rank is global: the counts of the depths are added up, and only rows of one depth are numbered together.
-    w = Window.partitionBy("depth").orderBy("url")
-    size = d.groupBy("depth").agg(F.count("*").alias("n"))
-    before = size.alias("a").join(F.broadcast(size.alias("b")), F.col("b.depth") < F.col("a.depth"), "left").groupBy("a.depth").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))  # a row per depth
-    return d.withColumn("_n", F.row_number().over(w)).join(F.broadcast(before), "depth").select("url", "depth", (F.col("_n") + F.col("before")).alias("rank"))
+    return numbered(urls.select("url", U.depth(F.col("url")).alias("depth")), ["depth", "url"], "rank")
 
 
 def first_by_final_url(fetched: DataFrame, final_url: str, seq: str) -> DataFrame:

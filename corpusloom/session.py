@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,6 +101,21 @@ def release() -> None:
 atexit.register(release)
 
 
+def numbered(df: DataFrame, order: list[str], name: str, start: int = 1) -> DataFrame:
+    """``df`` with the place of each row in a total order over all of it, from ``start``.
+
+    Rows are parted by ranges of the order and numbered inside each part; only the parts' sizes reach the driver.
+    """
+    parts = materialize(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ordered")
+    sizes = sorted((r[0], r[1]) for r in parts.groupBy("_p").count().collect())  # a row per part
+    offsets, total = [F.lit(-1), F.lit(0)], 0
+    for p, n in sizes:
+        offsets += [F.lit(p), F.lit(total)]
+        total += n
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) + F.create_map(*offsets)[F.col("_p")] + (start - 1)
+    return parts.withColumn(name, place).drop("_p")
+
+
 BROADCAST_BYTES = 32_000_000  # a side of a join is broadcast up to this size
 
 

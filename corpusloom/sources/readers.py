@@ -107,18 +107,41 @@ def sitemap_locs(maps: DataFrame, xml: str = "xml") -> DataFrame:
     return maps.select(index.alias("is_index"), F.explode(locs).alias("loc")).withColumn("loc", F.replace(F.col("loc"), F.lit("&amp;"), F.lit("&")))
 
 
-def sitemap_urls(store: DataFrame, starts: list[str], host: str, limit: int = 50) -> list[str]:
-    """Page urls of a site's sitemaps: indexes are followed on the same host, at most ``limit`` maps. ``store`` has url and xml."""
+def sitemap_urls(store: DataFrame, starts: list[str], host: str, limit: int | None = None) -> list[str]:
+    """Page urls of a site's sitemaps: indexes are followed on the same host, level by level. ``store`` has url and xml.
+
+    At most ``limit`` maps are read if it is given; ``sitemap_rest`` tells which were left.
+    """
+    return _walk(lambda urls: store.filter(F.col("url").isin(urls)).select("xml"), starts, host, limit)[0]
+
+
+def sitemap_rest(store: DataFrame, starts: list[str], host: str, limit: int) -> list[str]:
+    """The maps that a limit leaves unread."""
+    return _walk(lambda urls: store.filter(F.col("url").isin(urls)).select("xml"), starts, host, limit)[1]
+
+
+def sitemap_walk(spark: SparkSession, open_client: Callable, starts: list[str], host: str, limit: int | None = None) -> tuple[list[str], list[str]]:
+    """As ``sitemap_urls`` and ``sitemap_rest``, over the network; a map that can't be fetched is empty."""
+    from corpusloom.sources import http
+
+    get = lambda urls: http.fetched(spark.createDataFrame([(u,) for u in urls], "url string"), open_client, 0.0).select(F.col("html").alias("xml"))
+    return _walk(get, starts, host, limit)
+
+
+def _walk(get: Callable[[list[str]], DataFrame], starts: list[str], host: str, limit: int | None) -> tuple[list[str], list[str]]:
     from corpusloom.functions import url as U
 
     todo, seen, pages = list(starts), set(), set()
-    while todo and len(seen) < limit:
-        batch = [u for u in dict.fromkeys(todo) if u not in seen][: limit - len(seen)]
+    while todo and (limit is None or len(seen) < limit):
+        fresh = [u for u in dict.fromkeys(todo) if u not in seen]
+        batch = fresh if limit is None else fresh[: limit - len(seen)]
+        if not batch:
+            return sorted(pages), []
         seen.update(batch)
-        got = sitemap_locs(store.filter(F.col("url").isin(batch))).filter(U.on_host(F.col("loc"), host)).distinct().collect()  # one site's maps
-        todo = [r.loc for r in got if r.is_index]
+        got = sitemap_locs(get(batch)).filter(U.on_host(F.col("loc"), host)).distinct().collect()  # one site's maps
+        todo = fresh[len(batch) :] + [r.loc for r in got if r.is_index]
         pages.update(r.loc for r in got if not r.is_index)
-    return sorted(pages)
+    return sorted(pages), sorted({u for u in todo if u not in seen})
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str = "corpusloom") -> DataFrame:

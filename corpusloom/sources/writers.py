@@ -16,7 +16,7 @@ def write_documents(docs: DataFrame, folder: str) -> None:
 
     Ids that are no plain file names are refused before anything is written.
     """
-    if not docs.filter(~F.coalesce(F.col("doc_id").rlike(r"^[\w.\-]+$"), F.lit(False))).isEmpty():
+    if not docs.filter(~F.coalesce(F.col("doc_id").rlike(r"^(?!\.{1,2}$)[^/\\\x00-\x1f]+$"), F.lit(False))).isEmpty():
         raise ValueError("a document id is no file name")
     rows = docs.select("doc_id", T.document(F.col("url"), F.col("title"), F.col("content")).alias("value"))
 
