@@ -81,7 +81,9 @@ def normal(text: str) -> str:
         if re.search("[\u0370-\u03ff\u0400-\u052f]", t) and re.search("[A-Za-z]", t):
             t = t.translate(_ALIKE)
     t = _LONG.sub(r"\1", _SPACED.sub(lambda m: m.group(1).replace(" ", ""), t))
-    return _ODD.sub(_plain, t) if _SIGNS.search(t) else t
+    if not _SIGNS.search(t):
+        return t
+    return "\n".join(_ODD.sub(_plain, x) if _SIGNS.search(x) else x for x in t.split("\n"))
 
 
 def sentences(text: str) -> list[tuple[str, str]]:
