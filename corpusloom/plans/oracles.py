@@ -55,7 +55,31 @@ _FINDINGS = {
     "audit_counts": "WITH a AS (SELECT source, count(*) AS n FROM pages GROUP BY 1), b AS (SELECT source, count(*) AS m FROM coverage WHERE kind = 'page_saved' GROUP BY 1) SELECT coalesce(a.source, b.source) AS source, coalesce(n, 0) AS records, coalesce(m, 0) AS reported FROM a FULL JOIN b ON a.source = b.source WHERE coalesce(a.source, b.source) IS NOT NULL AND abs(coalesce(n, 0) - coalesce(m, 0)) > 1",
 }
 
+_WHITE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]+"
+
+
+def _strip(c: str) -> str:
+    return f"regexp_replace({c}, '^{_WHITE}|{_WHITE}$', '', 'g')"
+
+
+def _last(mark: str, width: int) -> str:
+    """Place, from 0, of the last mark in the first 6000 characters of rest; null if there is none."""
+    return f"nullif(strpos(reverse(substring(rest, 1, 6000)), {mark}), 0) * -1 + 6001 - {width}"
+
+
+_CUT = f"greatest(coalesce({_last('chr(10) || chr(10)', 2)}, {_last('chr(10)', 1)}, {_last("' '", 1)}, 6000), 0)"
+_CHUNKS = f"""WITH RECURSIVE c(doc_id, n, chunk, rest) AS (SELECT doc_id, 0, '', {_strip('text')} FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT doc_id, n + 1, CASE WHEN length(rest) <= 6000 THEN rest ELSE {_strip('substring(rest, 1, cut)')} END, CASE WHEN length(rest) <= 6000 THEN '' ELSE {_strip('substring(rest, cut + 1)')} END
+FROM (SELECT *, CASE WHEN {_CUT} = 0 THEN 6000 ELSE {_CUT} END AS cut FROM c WHERE rest <> ''))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS chunk_no, chunk FROM c WHERE n > 0 AND chunk <> ''"""
+_CRAWL = f"""WITH RECURSIVE p AS (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL), l AS (SELECT DISTINCT url, unnest(links) AS target FROM pages WHERE url IS NOT NULL),
+own AS (SELECT DISTINCT url AS src, regexp_replace(target, '#.*$', '') AS dst FROM l WHERE {_SAME}), s AS (SELECT src FROM own GROUP BY src ORDER BY count(DISTINCT dst) DESC, src LIMIT 1),
+r(url, depth) AS (SELECT src, 0 FROM s UNION SELECT own.dst, r.depth + 1 FROM r JOIN own ON own.src = r.url WHERE r.depth < 100)
+SELECT url, min(depth) AS depth, CASE WHEN url IN (SELECT url FROM p) THEN 'yielded' ELSE 'failed' END AS state FROM r GROUP BY url"""
+
 SQL: dict[str, str] = {
+    "embed_chunks": _CHUNKS,
+    "crawl_levels": _CRAWL,
     "page_text": f"SELECT * FROM (SELECT fetch_id, {_text('html')} AS text FROM scrape_url) WHERE text <> ''",
     "page_title": f"SELECT fetch_id, {_TITLE} AS title FROM scrape_url",
     "ledger_title": rf"SELECT fetch_id, coalesce(nullif(trim(regexp_replace({_unescape("regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')")}, '\s+', ' ', 'g')), ''), 'Untitled') AS title FROM scrape_url",
