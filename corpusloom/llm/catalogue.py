@@ -149,6 +149,10 @@ SQL = {
     "p3_found": "SELECT fetch_id FROM scrape_url WHERE length(content) > 6000",
     "p4_found": _SHINGLES + "SELECT DISTINCT a.doc_id, a.batch FROM m a JOIN sim ON a.cid = ca JOIN m b ON b.cid = cb WHERE b.batch < a.batch",
     "p5_found": _SHINGLES + "SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM m a JOIN sim ON a.cid = ca JOIN m b ON b.cid = cb WHERE a.doc_id < b.doc_id",
+    "p5_groups": _SHINGLES.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, e AS (SELECT DISTINCT ca, cb FROM sim WHERE ca <> cb), r(a, b) AS (SELECT cid, cid FROM c UNION SELECT r.a, e.cb FROM r JOIN e ON r.b = e.ca),
+g AS (SELECT r.a AS cid, min(md5(c.txt)) AS group_id FROM r JOIN c ON c.cid = r.b GROUP BY r.a), d AS (SELECT ca AS cid, count(*) AS n FROM e GROUP BY 1)
+SELECT DISTINCT m.doc_id AS id, md5(c.txt) AS cls, g.group_id, coalesce(d.n, 0) AS n_links FROM m JOIN c USING (cid) JOIN g USING (cid) LEFT JOIN d USING (cid) WHERE m.doc_id IS NOT NULL""",
     "p7_found": r"""
 WITH r AS (SELECT fetch_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)', 1)) AS site, content FROM scrape_url),
 l AS (SELECT fetch_id, site, i AS line_no, regexp_replace(lower(string_split(content, chr(10))[i]), '[^\p{L}]', '', 'g') AS k
