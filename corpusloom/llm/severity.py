@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import small_batches
 
-SAMPLE = 20_000  # labelled documents that the weights are fitted on, at most
+SAMPLE, SAMPLE_CHARS = 20_000, 100_000_000  # labelled documents that the weights are fitted on, at most, and their characters
 THRESHOLD = 0.2  # expected severity from which a document is reported
 GRADES = 2  # thresholds, one less than there are grades
 SIGNIFICANT = 3.2  # standard deviations by which a feature must stand out in toxic documents
@@ -59,7 +59,9 @@ _HAN = re.compile("[\u4e00-\u9fff]+")
 _ALL = {"INSULT": INSULT, "HARM": HARM, "SEXUAL": SEXUAL, "DEMEAN": DEMEAN, "SHUT": SHUT}
 _LEXICON = INSULT | HARM | SEXUAL | DEMEAN | SHUT
 _MASKED = re.compile(r"[^\W\d_]\*+[^\W\d_]")
-_SIGNS = re.compile(r"[@$*!|]|[^\W\d_]\d[^\W_]|\d[a-z]")
+_SIGNS = re.compile(r"[@$*!|]|[0-9][a-z]|[0-9](?<=[^\W\d_].)[^\W_]")
+_UNSEEN = re.compile("[" + "".join(map(chr, _ZERO)) + "]")
+_OTHER = re.compile("[\u0370-\u03ff\u0400-\u052f]")
 LEAN = {"#INSULT": 0.5, "#HARM": 0.2, "#SEXUAL": 0.5, "#DEMEAN": 0.3, "#SHUT": 0.3, "#YOU+INSULT": 1.5, "#YOU+HARM": 0.5, "#2SEXUAL": 1.5, "#2INSULT": 1.0}  # what a start without verdicts leans on
 
 
@@ -77,8 +79,8 @@ def normal(text: str) -> str:
     """Text with look-alike letters, spaced-out, drawn-out and disguised words written plainly; line ends stay as they are."""
     t = text
     if not t.isascii():
-        t = unicodedata.normalize("NFC", t).translate(_ZERO)
-        if re.search("[\u0370-\u03ff\u0400-\u052f]", t) and re.search("[A-Za-z]", t):
+        t = _UNSEEN.sub("", unicodedata.normalize("NFC", t))
+        if _OTHER.search(t) and re.search("[A-Za-z]", t):
             t = t.translate(_ALIKE)
     t = _LONG.sub(r"\1", _SPACED.sub(lambda m: m.group(1).replace(" ", ""), t))
     if not _SIGNS.search(t):
@@ -129,7 +131,7 @@ class Model:
             if " " in f:
                 a, b = f.split(" ", 1)
                 self.pairs[a][b] = v
-        self.pairs = dict(self.pairs)
+        self.pairs, self.firsts = dict(self.pairs), frozenset(self.pairs)
         self.floor = self.severity(0.0)
 
     def severity(self, z: float) -> float:
@@ -142,8 +144,8 @@ class Model:
         get, pairs = self.w.get, self.pairs
         s = set(words)
         z = sum([get(x, 0.0) for x in s])
-        if not pairs.keys().isdisjoint(s):
-            z += sum(pairs[a][b] for a, b in set(zip(words, words[1:])) if a in pairs and b in pairs[a])
+        if first := self.firsts & s:
+            z += sum([pairs[a].get(b, 0.0) for a, b in {(a, b) for a, b in zip(words, words[1:]) if a in first}])
         if not low.isascii():
             z += sum(get(x, 0.0) for x in {run[i : i + 2] for run in _HAN.findall(low) for i in range(len(run) - 1)} - s)
         if not _LEXICON.isdisjoint(s):
@@ -241,7 +243,8 @@ def fit(texts: list[str], toxic: list[int], quality: list[int | None] | None = N
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: str, quality: str | None = None) -> Model:
-    """Fit on at most ``SAMPLE`` labelled documents, the first by the hash of their id; null verdicts and texts are left out."""
+    """Fit on at most ``SAMPLE`` labelled documents of at most ``SAMPLE_CHARS`` characters together, the first by the hash of
+    their id; null verdicts and texts are left out."""
     q = F.col(quality).cast("int") if quality else F.lit(None).cast("int")
     lab = labels.select(F.col(doc_id).alias("id"), F.col(toxic).alias("y"), q.alias("q")).filter("id IS NOT NULL AND y IS NOT NULL")
     lab = lab.withColumn("h", F.xxhash64("id"))
@@ -249,8 +252,16 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: str
     if low is None:
         return fit([], [])
     few = lab.filter(F.col("h") <= low).orderBy("h", "y", "q").limit(SAMPLE)
-    src = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).filter(F.length("t") > 0)
-    rows = src.join(F.broadcast(few), "id").orderBy("h", "t", "y", "q").limit(SAMPLE).collect()  # few has at most SAMPLE rows
+    src = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).filter(F.length("t") > 0).join(F.broadcast(few), "id")  # few has at most SAMPLE rows
+    total, last = 0, None
+    for r in src.select("h", F.length("t").alias("n")).orderBy("h", "n").limit(SAMPLE).collect():  # numbers
+        total += r.n
+        if total > SAMPLE_CHARS:
+            break
+        last = r.h
+    if last is None:
+        return fit([], [])
+    rows = src.filter(F.col("h") <= last).orderBy("h", "t", "y", "q").limit(SAMPLE).collect()
     return fit([r.t for r in rows], [int(r.y > 0) for r in rows], [r.q for r in rows])
 
 
