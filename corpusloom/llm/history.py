@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import shingles as S
@@ -122,7 +122,8 @@ class History:
         fresh = batch.texts.join(known, "cls", "left_anti")
         mine = fresh.select("cls", F.size("ps").alias("of"), F.explode("ps").alias("p"), *S.SKETCH_COLS)
         seen = mine.join(self._read("counts"), "p").groupBy("cls", "p", "of", *S.SKETCH_COLS).agg(F.sum("n").alias("n"))
-        seen = materialize(seen, "seen")  # paragraphs of the batch that were accepted before
+        most = Observation()
+        seen = materialize(seen.observe(most, F.max("n").alias("n")), "seen")  # paragraphs of the batch that were accepted before
         covered = seen.groupBy("cls", "of").agg(F.count("*").alias("c")).select("cls", (F.col("c") / F.col("of")).alias("coverage"))
         near = S.differing_bits("l", "r") <= S.most_bits(self.threshold, SAMPLES)
         theirs = self._read("passages")
@@ -130,7 +131,7 @@ class History:
         pairs = usual.alias("l").join(theirs.alias("r"), (F.col("l.p") == F.col("r.p")) & near).select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"), S.differing_bits("l", "r").alias("bits"))
         found = self._settle(batch.texts, pairs)
         hot = seen.filter(F.col("n") > S.HOT)
-        if not hot.isEmpty():
+        if (most.get["n"] or 0) > S.HOT:
             # contents not settled by their rarer passages: through the frequent ones, spread over tasks
             found = materialize(found, "found")
             rest = hot.join(found, "cls", "left_anti")
