@@ -70,7 +70,7 @@ NAMED = {
     "brace": rf"(?<![\w{{$/])\{{({_ID})\}}(?!/)",
 }
 _SLOT = re.compile("|".join(f"(?P<{k}>{v})" for k, v in {**OPEN, **NAMED}.items()), re.I)
-_SIGNS = set("{<[%@$_X")  # a slot has one of these
+_SIGNS = set("{<[%@$")  # a slot has one of these, or the marks below
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
@@ -82,7 +82,7 @@ def field(name: str) -> bool:
 
 def slots_of(line: str) -> list[tuple[str, str, bool]]:
     """(kind, text, whether its name is a field's) of every slot of a line."""
-    if _SIGNS.isdisjoint(line):
+    if _SIGNS.isdisjoint(line) and "__" not in line and "XXX-" not in line.upper():
         return []
     out = []
     for m in _SLOT.finditer(line):
