@@ -38,7 +38,7 @@ class Config:
     include_external: bool = False
     delay: float = 0.5
     timeout: float = 10.0
-    user_agent: str = "WebScraper/2.0"
+    user_agent: str = "corpusloom/0.2"
     use_agent: bool = True
     skip_clean: bool = False
     similarity: float = SIMILARITY

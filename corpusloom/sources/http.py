@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import url as U
 
 # The defaults of a fetch.
-USER_AGENT, TIMEOUT, DELAY, LEAST_DELAY = "WebScraper/2.0", 10.0, 0.5, 0.4
+USER_AGENT, TIMEOUT, DELAY, LEAST_DELAY = "corpusloom/0.2", 10.0, 0.5, 0.4
 FETCHED = "url string, final_url string, content_type string, html string, error string"
 
 
